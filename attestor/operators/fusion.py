@@ -6,6 +6,7 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestor.functions import text as tx
 from attestor.functions.digests import canonical
@@ -197,7 +198,7 @@ def rerank(candidates: DataFrame, score_fn: Callable | None, top_k: int = 8, win
     per_request = Window.partitionBy("request_id")
     sized = candidates.withColumn("n", F.count("*").over(per_request))
     inside = sized.where((F.col("position") <= size) & (F.col("n") >= 2))
-    schema = inside.select("request_id", "chunk_id").schema.add("rerank_score", "double")
+    schema = T.StructType(inside.select("request_id", "chunk_id").schema.fields + [T.StructField("rerank_score", T.DoubleType())])
 
     def run(batches):
         for batch in batches:

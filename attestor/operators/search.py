@@ -150,10 +150,6 @@ def exact_search(requests: DataFrame, chunks: DataFrame, k: int = 50) -> DataFra
     ).withColumn("lowered", F.lower("query"))
     own = tx.identifier_terms(F.col("query"))
     asked = asked.withColumn("single", (F.size(own) == 1) & (F.get(own, F.lit(0)) == tx.fold(F.col("query"))))
-    asked = asked.withColumn("words", tx.tokens(F.col("query"), "selection"))
-    longest = F.get(F.array_sort(F.col("words"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a))
-                                 .when(a < b, -1).when(a > b, 1).otherwise(0)), F.lit(0))
-    asked = asked.withColumn("anchor", longest)
     small = lambda df: broadcast_bounded(df, requests.select(F.explode("kb_ids")))
 
     by_identifier = (
@@ -166,13 +162,8 @@ def exact_search(requests: DataFrame, chunks: DataFrame, k: int = 50) -> DataFra
         .join(small(asked.where("not single").select("request_id", "kb_id", F.col("query").alias("term"))), ["kb_id", "term"])
         .select("request_id", "chunk_id", F.lit(5.0).alias("score"))
     )
-    by_phrase = (
-        chunks.select("chunk_id", "kb_id", "search_text",
-                      F.explode(F.array_distinct(tx.tokens(F.col("search_text"), "selection"))).alias("anchor"))
-        .join(small(asked.where("not single").select("request_id", "kb_id", "anchor", "lowered")), ["kb_id", "anchor"])
-        .where(F.contains(F.lower("search_text"), F.col("lowered")))
+    by_phrase = phrase_hits(asked.where("not single").select("request_id", "kb_id", "query"), chunks, requests.select(F.explode("kb_ids"))) \
         .select("request_id", "chunk_id", F.lit(1.0).alias("score"))
-    )
     hits = (
         by_identifier.unionByName(by_field).unionByName(by_phrase)
         .groupBy("request_id", "chunk_id").agg(F.sum("score").alias("score"))
@@ -180,6 +171,24 @@ def exact_search(requests: DataFrame, chunks: DataFrame, k: int = 50) -> DataFra
     return top_k(hits, k).select("request_id", "chunk_id", "rank", "score")
 
 
+def phrase_hits(asked: DataFrame, chunks: DataFrame, bound: DataFrame) -> DataFrame:
+    """Rows ``request_id, chunk_id`` where the query occurs in the text, letter case aside.
+
+    ``asked(request_id, kb_id, query)``. Chunk and query meet on the query's longest word; only then is the
+    phrase compared, so no query is tried on every chunk.
+    """
+    words = tx.tokens(F.col("query"), "selection")
+    longest = F.get(F.array_sort(words, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a))
+                                 .when(a < b, -1).when(a > b, 1).otherwise(0)), F.lit(0))
+    anchors = asked.select("request_id", "kb_id", F.lower("query").alias("lowered"), longest.alias("anchor"))
+    body = chunks.select("chunk_id", "kb_id", "search_text", F.explode(
+        F.array_distinct(tx.tokens(F.col("search_text"), "selection"))).alias("anchor"))
+    return (
+        body.join(broadcast_bounded(anchors, bound), ["kb_id", "anchor"])
+        .where(F.contains(F.lower("search_text"), F.col("lowered"))).select("request_id", "chunk_id").distinct()
+    )
+
+
 # --- vectors -------------------------------------------------------------------------
 
 KNN_SCHEMA = "request_id string, vec_id long, score double"

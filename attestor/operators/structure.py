@@ -174,55 +174,42 @@ def _offsets(pieces: Column) -> Column:
 def chunk_ranges(block_rows: DataFrame, max_chars: int = MAX_CHARS, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Pieces of at most ``max_chars`` characters and ``max_tokens`` lexical tokens, cut at sentence or line ends.
 
-    ``start, end`` are relative to the block. A piece that had to be cut inside a sentence, or that starts
-    inside one, is flagged partial. The text is first cut into atoms (sentences; runs of one word and the
-    blanks after it inside a sentence too long for a piece); one ordered fold packs atoms into pieces.
+    ``piece_start, piece_end`` are relative to the block. Where no end lies in reach, the cut falls after the
+    last blank of the second half, or at the limit; that piece and one starting inside a sentence are partial.
+    Most blocks fit whole and skip the fold; the fold walks one block inside its row.
     """
-    sentence = r"(?s).*?(?:[。！？]|[.!?]\s+|\n|$)"
-    rows = block_rows.withColumn("sentences", F.filter(F.regexp_extract_all("text", F.lit(sentence), F.lit(0)), lambda x: x != ""))
-
-    def count(x: Column) -> Column:
-        return F.regexp_count(x, F.lit(SENTENCE_TOKEN))
-
-    start = F.struct(
-        F.lit(0).alias("at"), F.lit(0).alias("begin"), F.lit(0).alias("chars"), F.lit(0).alias("tokens"),
-        F.lit(False).alias("open"), F.expr("cast(array() as array<struct<start:int,end:int,partial:boolean>>)").alias("out"))
-
-    def piece(a: Column, b: Column, partial: Column) -> Column:
-        return F.array(F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), partial.alias("partial")))
-
-    def fits(acc: Column, x: Column) -> Column:
-        return (acc["chars"] + F.length(x) <= max_chars) & (acc["tokens"] + count(x) <= max_tokens)
-
-    def state(at, begin, chars, tokens, open_, out) -> Column:
-        return F.struct(at.cast("int").alias("at"), begin.cast("int").alias("begin"), chars.cast("int").alias("chars"),
-                        tokens.cast("int").alias("tokens"), open_.alias("open"), out.alias("out"))
-
-    def close(acc: Column, partial: Column) -> Column:
-        return F.when(acc["chars"] > 0, F.concat(acc["out"], piece(acc["begin"], acc["at"], partial | acc["open"]))).otherwise(acc["out"])
-
-    def pack_words(acc: Column, x: Column) -> Column:
-        # the sentence alone does not fit: cut it by words, each cut is partial; a longer word is cut by length
-        words = F.flatten(F.transform(F.regexp_extract_all(x, F.lit(r"\s*\S+\s*|\s+"), F.lit(0)), lambda w: F.transform(
-            F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(w) / max_chars) - 1).cast("int")),
-            lambda i: F.substring(w, i * max_chars + 1, F.lit(max_chars)))))
-        fresh = state(acc["at"], acc["at"], F.lit(0), F.lit(0), F.lit(False), close(acc, F.lit(False)))
-        packed = F.aggregate(words, fresh, lambda s, w: F.when(
-            fits(s, w), state(s["at"] + F.length(w), s["begin"], s["chars"] + F.length(w), s["tokens"] + count(w), s["open"], s["out"])
-        ).otherwise(state(s["at"] + F.length(w), s["at"], F.length(w), count(w), F.lit(True), close(s, F.lit(True)))))
-        return state(packed["at"], packed["at"], F.lit(0), F.lit(0), F.lit(False), close(packed, F.lit(False)))
-
-    def step(acc: Column, x: Column) -> Column:
-        alone = (F.length(x) <= max_chars) & (count(x) <= max_tokens)
-        return (
-            F.when(alone & fits(acc, x), state(acc["at"] + F.length(x), acc["begin"], acc["chars"] + F.length(x),
-                                               acc["tokens"] + count(x), acc["open"], acc["out"]))
-            .when(alone, state(acc["at"] + F.length(x), acc["at"], F.length(x), count(x), F.lit(False), close(acc, F.lit(False))))
-            .otherwise(pack_words(acc, x))
-        )
-
-    packed = rows.withColumn("p", F.aggregate("sentences", start, step, lambda acc: close(acc, F.lit(False))))
-    return packed.select(*block_rows.columns, F.posexplode("p").alias("piece_no", "r")).select(
+    token = r"(?:\s*+(?:[㐀-鿿]|[A-Za-z]++|\d++|\S))"
+    whole = (F.length("text") <= max_chars) & (F.regexp_count("text", F.lit(SENTENCE_TOKEN)) <= max_tokens)
+    sentences = F.filter(F.regexp_extract_all(
+        "text", F.lit(r"(?s).*?(?:[。！？]|[.!?]\s+|\n|$)"), F.lit(0)), lambda x: x != "")
+    rows = block_rows.withColumn("whole", whole).withColumn("ends", F.when(~F.col("whole"), _offsets(sentences)))
+    size = F.length("text")
+    turns = F.sequence(F.lit(1), (2 * F.ceil(size / min(max_chars // 2, max_tokens)) + 2).cast("int"))
+    range_type = "array<struct<start:int,end:int,partial:boolean>>"
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {range_type})").alias("out"))
+
+    def cut(at: Column, text: Column, ends: Column, total: Column) -> Column:
+        head = F.regexp_extract(F.substring(text, at + 1, total), r"(?s)^" + token + "{%d}" % max_tokens, 0)
+        maximum = F.least(at + max_chars, F.when(F.length(head) > 0, at + F.length(head)).otherwise(total), total)
+        reach = F.array_max(F.filter(ends, lambda e: (e > at) & (e <= maximum)))
+        half = at + max_chars // 2
+        tail = F.when(maximum > half, F.substring(text, half + 1, maximum - half)).otherwise(F.lit(""))
+        back = F.instr(F.reverse(tail), F.lit(" "))
+        blank = F.when(back > 0, maximum - back + 1)
+        forced = reach.isNull() & (maximum < total)
+        end = F.coalesce(reach, F.when(forced, F.coalesce(blank, maximum)).otherwise(maximum))
+        inside = (at > 0) & ~F.array_contains(ends, at)
+        return F.struct(at.cast("int").alias("start"), end.cast("int").alias("end"), (forced | inside).alias("partial"))
+
+    def step(acc: Column, _: Column) -> Column:
+        return F.when(acc["at"] >= size, acc).otherwise(tx.let(
+            cut(acc["at"], F.col("text"), F.col("ends"), size),
+            lambda r: F.struct(r["end"].alias("at"), F.concat(acc["out"], F.array(r)).alias("out"))))
+
+    ranges = F.when(F.col("whole"), F.array(F.struct(
+        F.lit(0).alias("start"), F.length("text").cast("int").alias("end"), F.lit(False).alias("partial")))).otherwise(
+        F.aggregate(turns, start, step, lambda acc: acc["out"]))
+    return rows.select(*block_rows.columns, F.posexplode(ranges).alias("piece_no", "r")).select(
         *[F.col(c) for c in block_rows.columns if c not in ("start", "end", "text")], "piece_no",
         F.col("r.start").alias("piece_start"), F.col("r.end").alias("piece_end"), F.col("r.partial").alias("partial"),
         F.substring("text", F.col("r.start") + 1, F.col("r.end") - F.col("r.start")).alias("text"),
@@ -261,7 +248,7 @@ def table_rows(tables: DataFrame, keys: list[str], max_chars: int = MAX_CHARS) -
         *keys, header.alias("header"), F.posexplode(F.slice(parts, F.lit(3), F.size(parts))).alias("r", "row_text"))
     room = F.greatest(F.lit(1), F.lit(max_chars) - F.length("header") - 1)
     # cells with the pipe that follows them; a cell longer than the room is cut by length
-    cells = F.regexp_extract_all("row_text", F.lit(r"(?:\\.|[^|])*(?:\||$)"), F.lit(0))
+    cells = F.regexp_extract_all("row_text", F.lit(r"(?s).*?(?:(?<!\\)\||$)"), F.lit(0))
     atoms = F.flatten(F.transform(F.filter(cells, lambda c: c != ""), lambda c: F.transform(
         F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(c) / room) - 1).cast("int")),
         lambda i: F.substring(c, (i * room + 1).cast("int"), room.cast("int")))))

@@ -1,0 +1,5 @@
+"""Registered queries over the driver's tables."""
+
+from attestor.plans import retrieval
+
+REGISTRY = {**retrieval.QUERIES}

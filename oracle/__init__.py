@@ -1,0 +1,5 @@
+"""SQL twins of the registered queries, for DuckDB."""
+
+from oracle import retrieval
+
+ORACLES = {**retrieval.ORACLES}
