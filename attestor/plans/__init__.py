@@ -1,5 +1,5 @@
 """Registered queries over the driver's tables."""
 
-from attestor.plans import retrieval
+from attestor.plans import retrieval, structuring
 
-REGISTRY = {**retrieval.QUERIES}
+REGISTRY = {**retrieval.QUERIES, **structuring.QUERIES}

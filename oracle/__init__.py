@@ -1,5 +1,5 @@
 """SQL twins of the registered queries, for DuckDB."""
 
-from oracle import retrieval
+from oracle import retrieval, structuring
 
-ORACLES = {**retrieval.ORACLES}
+ORACLES = {**retrieval.ORACLES, **structuring.ORACLES}
