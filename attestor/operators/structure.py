@@ -178,7 +178,7 @@ def chunk_ranges(block_rows: DataFrame, max_chars: int = MAX_CHARS, max_tokens:
     last blank of the second half, or at the limit; that piece and one starting inside a sentence are partial.
     Most blocks fit whole and skip the fold; the fold walks one block inside its row.
     """
-    token = r"(?:\s*+(?:[㐀-鿿]|[A-Za-z]++|\d++|\S))"
+    token = r"(?>\s*(?:[㐀-鿿]|[A-Za-z]+|\d+|\S))"
     whole = (F.length("text") <= max_chars) & (F.regexp_count("text", F.lit(SENTENCE_TOKEN)) <= max_tokens)
     sentences = F.filter(F.regexp_extract_all(
         "text", F.lit(r"(?s).*?(?:[。！？]|[.!?]\s+|\n|$)"), F.lit(0)), lambda x: x != "")
@@ -188,22 +188,28 @@ def chunk_ranges(block_rows: DataFrame, max_chars: int = MAX_CHARS, max_tokens:
     range_type = "array<struct<start:int,end:int,partial:boolean>>"
     start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {range_type})").alias("out"))
 
-    def cut(at: Column, text: Column, ends: Column, total: Column) -> Column:
-        head = F.regexp_extract(F.substring(text, at + 1, total), r"(?s)^" + token + "{%d}" % max_tokens, 0)
-        maximum = F.least(at + max_chars, F.when(F.length(head) > 0, at + F.length(head)).otherwise(total), total)
-        reach = F.array_max(F.filter(ends, lambda e: (e > at) & (e <= maximum)))
+    def cut(at: Column) -> Column:
+        # each intermediate value is bound once; a lambda would otherwise evaluate it per boundary
+        text, ends = F.col("text"), F.col("ends")
+        head = F.length(F.regexp_extract(F.substring(text, at + 1, size), r"(?s)^" + token + "{%d}" % max_tokens, 0))
+        limit = tx.let(head, lambda h: F.least(at + max_chars, F.when(h > 0, at + h).otherwise(size), size))
         half = at + max_chars // 2
-        tail = F.when(maximum > half, F.substring(text, half + 1, maximum - half)).otherwise(F.lit(""))
-        back = F.instr(F.reverse(tail), F.lit(" "))
-        blank = F.when(back > 0, maximum - back + 1)
-        forced = reach.isNull() & (maximum < total)
-        end = F.coalesce(reach, F.when(forced, F.coalesce(blank, maximum)).otherwise(maximum))
-        inside = (at > 0) & ~F.array_contains(ends, at)
-        return F.struct(at.cast("int").alias("start"), end.cast("int").alias("end"), (forced | inside).alias("partial"))
+
+        def place(maximum: Column) -> Column:
+            reach = F.array_max(F.filter(ends, lambda e: (e > at) & (e <= maximum)))
+            tail = F.when(maximum > half, F.substring(text, half + 1, maximum - half)).otherwise(F.lit(""))
+            blank = tx.let(F.instr(F.reverse(tail), F.lit(" ")), lambda b: F.when(b > 0, maximum - b + 1))
+            inside = (at > 0) & ~F.array_contains(ends, at)
+            return tx.let(reach, lambda r: F.struct(
+                at.cast("int").alias("start"),
+                F.coalesce(r, F.when(maximum < size, F.coalesce(blank, maximum)).otherwise(maximum)).cast("int").alias("end"),
+                ((r.isNull() & (maximum < size)) | inside).alias("partial")))
+
+        return tx.let(limit, place)
 
     def step(acc: Column, _: Column) -> Column:
         return F.when(acc["at"] >= size, acc).otherwise(tx.let(
-            cut(acc["at"], F.col("text"), F.col("ends"), size),
+            cut(acc["at"]),
             lambda r: F.struct(r["end"].alias("at"), F.concat(acc["out"], F.array(r)).alias("out"))))
 
     ranges = F.when(F.col("whole"), F.array(F.struct(
@@ -270,7 +276,7 @@ def unpivot_product_columns(cells: DataFrame, header_entities: DataFrame, keys:
     only where every column but the first names exactly one entity and no entity repeats.
     """
     header = cells.select(*keys, "header_line").distinct()
-    columns = header.select(*keys, F.posexplode(F.transform(F.split(F.regexp_replace(F.trim("header_line"), r"^\|+|\|+$", ""), r"\|"), F.trim))
+    columns = header.select(*keys, F.posexplode(F.transform(F.split(F.regexp_replace(F.trim("header_line"), r"^\|+|\|+$", ""), r"\|"), lambda x: F.trim(x)))
                             .alias("column_index", "column_name"))
     named = columns.join(header_entities, [*keys, "column_index"], "left").groupBy(*keys, "column_index", "column_name").agg(
         F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id"))

@@ -74,7 +74,7 @@ pt AS (SELECT p.p_partkey AS chunk_id, p.p_name, p.p_type, CASE p.p_type
   FROM part p LEFT JOIN part n ON n.p_partkey = p.p_partkey + 1),
 names AS (SELECT DISTINCT p_name AS name FROM part),
 pm AS (SELECT chunk_id, body, list(name ORDER BY name) AS m, list(name ORDER BY name) FILTER (starts_with(body, name) AND regexp_matches(substr(body, length(name) + 1, 60), '(?i)\\b(?:voltage|weight|price|shelf life|storage|capacity|power|dimensions?|rated|ingredients?|allergens?|delivery)\\b')) AS ex
-  FROM pt LEFT JOIN names ON regexp_matches(body, '(^|[^\\p{L}\\p{N}_-])' || name || '($|[^\\p{L}\\p{N}_-])') GROUP BY ALL)"""
+  FROM pt LEFT JOIN names ON contains(' ' || replace(replace(body, '.', ' '), ':', ' ') || ' ', ' ' || name || ' ') GROUP BY ALL)"""
 
 ORACLES = {
     "quality_gate": """SELECT doc_id, code IS NULL AS ok, code AS error_code FROM (SELECT doc_id, CASE WHEN regexp_replace(text, '\\s+', '', 'g') = '' THEN 'empty_content'
@@ -121,10 +121,10 @@ f AS (SELECT *, len(mm) AS n, CASE WHEN bw AND (len(mm) > 1 OR bc) THEN 'bundle'
 g AS (SELECT *, kind = 'bundle' AS b, kind = 'bundle' AND len(rings) = 1 AS ob, len(ee) = 1 AND n = 1 AND kind <> 'bundle' AS single FROM f),
 r AS (SELECT *, CASE WHEN ob THEN 'resolved' WHEN b THEN 'unknown' WHEN n > 1 THEN 'ambiguous' WHEN single THEN 'resolved' ELSE 'unknown' END AS st,
   CASE WHEN ob THEN rings WHEN b THEN [] WHEN n > 1 THEN mm[1:8] WHEN single THEN ee ELSE [] END AS own FROM g),
-z AS (SELECT *, n = 0 AND st = 'unknown' AND regexp_matches(body, '(?i)^(?:note\\b|disclaimer\\b|glossary\\b)') AND (NOT b OR NOT ob) AS general FROM r)
+z AS (SELECT *, n > 0 AND len(ee) = 0 AND st = 'resolved' AND NOT list_has_all(own, mm) AS foreign_owner, n = 0 AND st = 'unknown' AND regexp_matches(body, '(?i)^(?:note\\b|disclaimer\\b|glossary\\b)') AND (NOT b OR NOT ob) AS general FROM r)
 SELECT chunk_id, CASE WHEN general THEN 'general' ELSE kind END AS fact_kind, st AS scope_status, array_to_string(own, ',') AS subjects,
-  CASE WHEN st = 'ambiguous' THEN 'pending' WHEN general OR ob OR (single AND n = 1) THEN 'rule_confirmed' ELSE 'pending' END AS review_state,
-  CASE WHEN general THEN 'explicit_general_section' WHEN ob THEN 'bundle_identity' WHEN b THEN 'bundle_identity_missing' WHEN n > 1 THEN 'mixed_subjects'
+  CASE WHEN st = 'ambiguous' OR foreign_owner THEN 'pending' WHEN general OR ob OR (single AND n = 1) THEN 'rule_confirmed' ELSE 'pending' END AS review_state,
+  CASE WHEN general THEN 'explicit_general_section' WHEN foreign_owner THEN 'scope_conflict' WHEN ob THEN 'bundle_identity' WHEN b THEN 'bundle_identity_missing' WHEN n > 1 THEN 'mixed_subjects'
        WHEN single THEN 'explicit_subject_attribute' END AS review_reason FROM z""",
     "resolve_scope": """WITH p AS (SELECT DISTINCT source, lang FROM documents),
 d AS (SELECT doc_id, source, lang, length(string_split(text, chr(10))[1]) < 60 AS short FROM documents),
