@@ -140,11 +140,11 @@ def adaptive_selection(spark, d):
     hits = fused_hits(spark, d).select("request_id", "chunk_id", "position")
     chunks = scoped_documents(spark, d)
     asked = requests(spark, d).select("request_id", "query", F.slice(F.split("query", r"(?<=[.!?])\s+"), 1, 8).alias("facets"))
-    candidates = hits.join(chunks, "chunk_id").withColumn("required_text", F.lit(""))
+    candidates = hits.join(chunks, "chunk_id").withColumn("required_text", F.lit("")).withColumns({
+        "bytes": F.octet_length("source_text"), "context_chars": F.length("source_text"),
+        "required_parts": F.expr("cast(array() as array<bigint>)")})
     features = selection.information_features(candidates, asked)
-    costs = candidates.select("request_id", "chunk_id", F.octet_length("source_text").alias("bytes"),
-                              F.length("source_text").alias("context_chars"), F.expr("cast(array() as array<bigint>)").alias("required_parts"))
-    return selection.select_adaptive(features, costs).select("request_id", "chunk_id", "hit_rank", "stop_reason")
+    return selection.select_adaptive(features).select("request_id", "chunk_id", "hit_rank", "stop_reason")
 
 
 def linked_lines(spark, d):
