@@ -214,7 +214,8 @@ def _best(ids, scores, k, request_ids):
     keep = min(k, scores.shape[1])
     out = []
     for row, request in enumerate(request_ids):
-        order = np.lexsort((ids, -rounded[row]))[:keep]
+        order = np.lexsort((ids, -rounded[row]))[:keep]  # not-a-number (another knowledge base) sorts last
+        order = order[~np.isnan(rounded[row][order])]
         out.append(pd.DataFrame({"request_id": request, "vec_id": ids[order], "score": scores[row][order]}))
     return pd.concat(out) if out else pd.DataFrame({"request_id": [], "vec_id": [], "score": []})
 
@@ -226,36 +227,43 @@ def knn(requests: DataFrame, vectors: DataFrame, k: int = 20, dimension: int | N
     Up to ``KNN_BATCH_REQUESTS`` requests travel to the vectors: each Arrow batch is one
     matrix product and yields at most ``k`` rows per request, so vectors never move.
     More requests are laid out in blocks against vector buckets, still yielding only ``k``
-    rows per request and bucket. Both ways are exact.
+    rows per request and bucket. Both ways are exact. With a ``kb_id`` column on both sides only vectors of the
+    request's knowledge base count.
     """
+    scoped = "kb_id" in requests.columns and "kb_id" in vectors.columns
+    if not scoped:
+        requests, vectors = requests.withColumn("kb_id", F.lit("")), vectors.withColumn("kb_id", F.lit(""))
     if dimension is not None:
         requests, vectors = check_vectors(requests, "vector", dimension), check_vectors(vectors, "vector", dimension)
-    asked = requests.select(F.col("request_id").cast("string").alias("request_id"), "vector")
+    asked = requests.select(F.col("request_id").cast("string").alias("request_id"), "vector", F.col("kb_id").cast("string"))
+    vectors = vectors.select(F.col("vec_id").cast("long"), "vector", F.col("kb_id").cast("string"))
     if fits_broadcast(asked, KNN_BATCH_REQUESTS):
         rows = asked.orderBy("request_id").collect()  # bounded by the check above
         request_ids = [r["request_id"] for r in rows]
         if not rows:
             return vectors.sparkSession.createDataFrame([], "request_id string, vec_id long, rank int, score double")
-        handle = vectors.sparkSession.sparkContext.broadcast(_unit([r["vector"] for r in rows]))
+        handle = vectors.sparkSession.sparkContext.broadcast((_unit([r["vector"] for r in rows]), np.asarray([r["kb_id"] for r in rows])))
 
         def score(batches):
-            unit_requests = handle.value
+            unit_requests, kbs = handle.value
             for batch in batches:
                 if len(batch):
                     similarity = np.clip(unit_requests @ _unit(batch["vector"]).T, -1.0, 1.0)
+                    similarity[kbs[:, None] != batch["kb_id"].to_numpy()[None, :]] = np.nan
                     yield _best(batch["vec_id"].to_numpy(), similarity, k, request_ids)
 
-        local = vectors.select(F.col("vec_id").cast("long"), "vector").mapInPandas(score, KNN_SCHEMA)
+        local = vectors.mapInPandas(score, KNN_SCHEMA)
     else:
         def score_pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if left.empty or right.empty:
                 return pd.DataFrame({"request_id": [], "vec_id": [], "score": []})
             similarity = np.clip(_unit(left["vector"]) @ _unit(right["vector"]).T, -1.0, 1.0)
+            similarity[left["kb_id"].to_numpy()[:, None] != right["kb_id"].to_numpy()[None, :]] = np.nan
             return _best(right["vec_id"].to_numpy(), similarity, k, list(left["request_id"]))
 
         blocks = F.sequence(F.lit(0), F.lit(buckets - 1))
         side_requests = asked.withColumn("a", F.pmod(F.xxhash64("request_id"), F.lit(buckets)).cast("int")).withColumn("b", F.explode(blocks))
-        side_vectors = vectors.select(F.col("vec_id").cast("long"), "vector").withColumn(
+        side_vectors = vectors.withColumn(
             "b", F.pmod(F.xxhash64("vec_id"), F.lit(buckets)).cast("int")).withColumn("a", F.explode(blocks))
         local = side_requests.groupBy("a", "b").cogroup(side_vectors.groupBy("a", "b")).applyInPandas(
             lambda l, r: score_pair(l, r), KNN_SCHEMA)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attestor.functions import text as tx
 from attestor.functions.digests import multiset_digest, row_digest, uuid5
 from attestor.operators.scope import STRUCTURAL_ROLES
-from attestor.operators.structure import block_kind
+from attestor.operators.structure import MAX_DEPTH, block_kind
 
 # Limits of the document tree and the search text template.
 MAX_TREE_DEPTH, CLOSURE_DEPTH, CLOSURE_NODES = 32, 3, 16
@@ -29,24 +29,23 @@ def block_nodes(block_rows: DataFrame) -> DataFrame:
     differs = F.transform("title_path", lambda p, i: ~F.coalesce(F.get("last_path", i) == p, F.lit(False)))
     opened = F.array_position(differs, F.lit(True))
     rows = rows.withColumn("common", F.when(opened > 0, opened - 1).otherwise(F.size("title_path")).cast("int"))
-    levels = rows.where(F.size("title_path") > 0).select("doc_id", "block_no", "title_path", "common", F.explode(F.sequence(F.lit(1), F.size("title_path"))).alias("level"))
-    by_level = Window.partitionBy("doc_id", "level").orderBy("block_no")
-    levels = levels.withColumn("opened_at", F.last(F.when(F.col("common") < F.col("level"), F.col("block_no")), ignorenulls=True).over(by_level))
-    levels = levels.withColumn("section_key", F.concat_ws(":", F.lit("section"), "opened_at", "level"))
-    by_block = Window.partitionBy("doc_id", "block_no").orderBy("level")
-    levels = levels.withColumn("above", F.coalesce(F.lag("section_key").over(by_block), F.lit("root")))
-    section_nodes = levels.where(F.col("opened_at") == F.col("block_no")).select(
-        "doc_id", F.col("section_key").alias("node_key"), F.col("above").alias("parent_key"), F.lit("section").alias("kind"),
-        F.element_at("title_path", F.col("level")).alias("text"), F.col("block_no").alias("at"), F.col("level").alias("depth_no"))
-    owner = levels.groupBy("doc_id", "block_no").agg(F.max_by("section_key", "level").alias("parent_key"))
-    leaves = block_rows.join(owner, ["doc_id", "block_no"], "left").select(
-        "doc_id", F.concat(F.lit("block:"), "block_no").alias("node_key"), F.coalesce("parent_key", F.lit("root")).alias("parent_key"),
-        block_kind(F.col("text")).alias("kind"), "text", F.col("block_no").alias("at"), F.lit(100).alias("depth_no"))
-    roots = block_rows.select("doc_id").distinct().select(
-        "doc_id", F.lit("root").alias("node_key"), F.lit(None).cast("string").alias("parent_key"), F.lit("document").alias("kind"), F.lit("").alias("text"),
-        F.lit(0).alias("at"), F.lit(0).alias("depth_no"))
-    number = Window.partitionBy("doc_id").orderBy("at", "depth_no", "node_key")
-    return roots.unionByName(section_nodes).unionByName(leaves).withColumn("ordinal", F.row_number().over(number) - 1).drop("at", "depth_no")
+    # block that opened the current section of each level; one window serves all levels
+    slots = [F.last(F.when((F.col("common") < k) & (F.size("title_path") >= k), F.col("block_no")), ignorenulls=True).over(order) for k in range(1, MAX_DEPTH + 1)]
+    rows = rows.withColumn("opened", F.array(*slots)).withColumn("first", F.lag("block_no").over(order).isNull())
+    key = lambda level: F.when(level < 1, F.lit("root")).otherwise(F.concat_ws(":", F.lit("section"), F.get("opened", level - 1), level))
+
+    def node(node_key, parent_key, kind, text, at, depth) -> Column:
+        return F.struct(node_key.alias("node_key"), parent_key.alias("parent_key"), kind.alias("kind"), text.alias("text"), at.cast("int").alias("at"), depth.cast("int").alias("depth"))
+
+    depth = F.size("title_path")
+    here = F.filter(F.transform("title_path", lambda title, i: F.struct(title.alias("title"), (i + 1).alias("level"))),
+                    lambda s: F.get("opened", s["level"] - 1) == F.col("block_no"))
+    sections_here = F.transform(here, lambda s: node(key(s["level"]), key(s["level"] - 1), F.lit("section"), s["title"], F.col("block_no"), s["level"]))
+    leaf = node(F.concat(F.lit("block:"), "block_no"), key(depth), block_kind(F.col("text")), F.col("text"), F.col("block_no"), F.lit(100))
+    root = node(F.lit("root"), F.lit(None).cast("string"), F.lit("document"), F.lit(""), F.lit(0), F.lit(0))
+    nodes = F.concat(F.when(F.col("first"), F.array(root)).otherwise(F.slice(F.array(root), 1, 0)), sections_here, F.array(leaf))
+    number = Window.partitionBy("doc_id").orderBy("at", "depth", "node_key")
+    return rows.select("doc_id", F.explode(nodes).alias("n")).select("doc_id", "n.*").withColumn("ordinal", F.row_number().over(number) - 1).drop("at", "depth")
 
 
 def structure_edges(nodes: DataFrame) -> DataFrame:
@@ -187,10 +186,10 @@ def required_closure(edges: DataFrame, max_depth: int = CLOSURE_DEPTH, max_nodes
         frontier = grown.dropDuplicates(["doc_id", "main", "last"])
         reached = reached.unionByName(frontier.select("doc_id", "main", F.col("last").alias("node"), F.lit(depth).alias("depth"),
                                                       F.array_contains("path", F.col("last")).alias("cycle")))
-    first = reached.groupBy("doc_id", "main", "node").agg(F.min("depth").alias("depth"), F.bool_or("cycle").alias("cycle"))
-    kept = F.array_sort(F.collect_list(F.when((F.col("depth") <= max_depth) & ~F.col("cycle"), F.col("node"))))
+    first = reached.groupBy("doc_id", "main", "node").agg(F.min(F.when(~F.col("cycle"), F.col("depth"))).alias("depth"), F.bool_or("cycle").alias("cycle"))
+    kept = F.array_sort(F.collect_list(F.when(F.col("depth") <= max_depth, F.col("node"))))
     rows = first.groupBy("doc_id", "main").agg(
-        kept.alias("node_keys"), F.bool_or("cycle").alias("cycle"), F.bool_or(F.col("depth") > max_depth).alias("deep"))
+        kept.alias("node_keys"), F.bool_or("cycle").alias("cycle"), F.coalesce(F.bool_or(F.col("depth") > max_depth), F.lit(False)).alias("deep"))
     issue = F.when(F.col("cycle"), "dependency_cycle").when(F.col("deep") | (F.size("node_keys") > max_nodes), "dependency_closure_limit")
     return rows.select("doc_id", "main", F.slice("node_keys", 1, max_nodes).alias("node_keys"), issue.alias("issue"))
 

@@ -1,5 +1,5 @@
 """Registered queries over the driver's tables."""
 
-from attestor.plans import retrieval, structuring
+from attestor.plans import decisions, governance, retrieval, structuring
 
-REGISTRY = {**retrieval.QUERIES, **structuring.QUERIES}
+REGISTRY = {**retrieval.QUERIES, **structuring.QUERIES, **governance.QUERIES, **decisions.QUERIES}

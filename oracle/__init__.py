@@ -1,5 +1,5 @@
 """SQL twins of the registered queries, for DuckDB."""
 
-from oracle import retrieval, structuring
+from oracle import decisions, governance, retrieval, structuring
 
-ORACLES = {**retrieval.ORACLES, **structuring.ORACLES}
+ORACLES = {**retrieval.ORACLES, **structuring.ORACLES, **governance.ORACLES, **decisions.ORACLES}
