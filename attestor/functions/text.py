@@ -174,27 +174,28 @@ def _stem_pair(word: Column, cut: int) -> Column:
 
 def _variants(word: Column) -> Column:
     none = F.expr("cast(array() as array<string>)")
-    plain = word.rlike("^[a-z]+$") & (F.length(word) > 4)
-    return F.concat(
+    size = F.length(word)
+    suffixed = F.concat(
         F.array(word),
-        F.when(plain & word.endswith("ies"),
-               F.array(F.concat(F.substring(word, F.lit(1), F.length(word) - 3), F.lit("y")))).otherwise(none),
-        F.when(plain & word.endswith("ing"), _stem_pair(word, 3)).otherwise(none),
-        F.when(plain & word.endswith("ed"), _stem_pair(word, 2)).otherwise(none),
-        F.when(plain & word.endswith("s") & ~word.endswith("ss"),
-               F.array(F.substring(word, F.lit(1), F.length(word) - 1))).otherwise(none),
+        F.when(word.endswith("ies"), F.array(F.concat(F.substring(word, F.lit(1), size - 3), F.lit("y")))).otherwise(none),
+        F.when(word.endswith("ing"), _stem_pair(word, 3)).when(word.endswith("ed"), _stem_pair(word, 2)).otherwise(none),
+        F.when(word.endswith("s") & ~word.endswith("ss"), F.array(F.substring(word, F.lit(1), size - 1))).otherwise(none),
     )
+    # most words have no suffix rule; they leave before any stem is built
+    return F.when((size > 4) & word.rlike("^[a-z]*(?:ing|ed|s)$"), suffixed).otherwise(F.array(word))
 
 
 def lexemes(text: Column, normalize: bool = True) -> Column:
     """Tokens plus suffix variants, with two concept groups collapsed to one name each."""
-    base = word_set(nfkc(text) if normalize else text)
-    words = F.array_distinct(F.flatten(F.transform(base, _variants)))
+    words = F.array_distinct(F.flatten(F.transform(word_set(nfkc(text) if normalize else text), _variants)))
+
+    def collapse(concept: str, members: list[str]):
+        gone = string_array(members + CONCEPT_STEMS[concept])
+        return lambda w: F.when(F.arrays_overlap(w, string_array(members)),
+                                F.array_union(F.array_except(w, gone), F.array(F.lit(concept)))).otherwise(w)
+
     for concept, members in CONCEPTS.items():
-        collapsed = F.array_union(
-            F.array_except(words, string_array(members + CONCEPT_STEMS[concept])), F.array(F.lit(concept))
-        )
-        words = F.when(F.arrays_overlap(words, string_array(members)), collapsed).otherwise(words)
+        words = let(words, collapse(concept, members))
     return words
 
 

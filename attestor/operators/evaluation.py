@@ -109,7 +109,7 @@ def paired_bootstrap(baseline: DataFrame, comparison: DataFrame, metric: str, it
     """
     pairs = baseline.select("query_id", "family", F.col(metric).cast("double").alias("a")).join(
         comparison.select("query_id", F.col(metric).cast("double").alias("b")), "query_id").where("a is not null and b is not null")
-    families = pairs.groupBy("family").agg(F.sum(F.col("b") - F.col("a")).alias("total"), F.count("*").alias("n"))
+    families = pairs.groupBy("family").agg(F.sum(F.col("b") - F.col("a")).alias("total"), F.count("*").alias("n")).persist()
     numbered = families.withColumn("slot", F.row_number().over(Window.orderBy("family")) - 1)
     size = families.agg(F.count("*").alias("families"), F.sum("total").alias("sum"), F.sum("n").alias("n"))
     draws = (

@@ -71,7 +71,7 @@ def _matches(spark, d):
 
 
 def _support(spark, d, with_conflicts=True):
-    matches = _matches(spark, d)
+    matches = _matches(spark, d).persist()  # read by the conflict, support and cover steps
     found = decision.conflicts(matches)
     return decision.facet_support(_facets(spark, d), matches, found if with_conflicts else found.where("false")), matches
 
@@ -92,7 +92,8 @@ def evidence_cover(spark, d):
 
 def fit_budget(spark, d):
     support, matches = _support(spark, d)
-    groups = decision.render_groups(decision.select_cover(support, matches), _candidates(spark, d))
+    support = support.persist()
+    groups = decision.render_groups(decision.select_cover(support, matches), _candidates(spark, d)).persist()
     return decision.fit_budget(support, groups, 1200)[1]
 
 
@@ -278,7 +279,7 @@ def macro_summary(spark, d):
 
 
 def paired_bootstrap(spark, d):
-    rows = _scores(spark, d)
+    rows = _scores(spark, d).persist()
     return evaluation.paired_bootstrap(rows.where("variant = 'H'"), rows.where("variant = 'L'"), "recall", iterations=200)
 
 

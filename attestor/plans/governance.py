@@ -28,7 +28,7 @@ def turn_tree(spark, d):
 
 
 def document_nodes(spark, d):
-    nodes = tree.block_nodes(structure.blocks(marked(spark, d)))
+    nodes = tree.block_nodes(structure.blocks(marked(spark, d))).persist()
     edges = tree.structure_edges(nodes)
     return nodes.select(F.lit("node").alias("item"), "kind").unionByName(edges.select(F.lit("edge").alias("item"), F.col("type").alias("kind"))).groupBy("item", "kind").agg(F.count("*").alias("n"))
 

@@ -25,6 +25,12 @@ def lexemes(x):
     return base
 
 
+def collapse(source, name, concept):
+    label, members, stems = concept
+    return (f"{name} AS (SELECT doc_id, CASE WHEN list_has_any(l, {sql_list(members)}) THEN list_append(list_filter(l, lambda z: NOT list_contains({sql_list(members + stems)}, z)), '{label}') "
+            f"ELSE l END AS l FROM {source})")
+
+
 def except_(a, b):
     return f"list_filter({a}, lambda z: NOT list_contains({b}, z))"
 
@@ -80,7 +86,10 @@ SELECT request_id, 'f1' AS facet_id, 0 AS start, length(x) + 1 AS "end", md5(x |
 UNION ALL SELECT request_id, 'f2', length(x) + 2, length(x) + length(y) + 3, md5(y || ';') FROM q""",
     "values_qualifiers": f"""SELECT doc_id, len({SENTS}) AS qualifiers, md5(array_to_string({SENTS}, '|')) AS qualifier_digest,
   len(list_filter(string_split(regexp_replace(text, '([.!?。！？])\\s+|\\n+', '\\1' || chr(1), 'g'), chr(1)), lambda p: {STRIPPED % 'p'} <> '' AND regexp_matches(p, '{DQUAL}'))) AS clauses FROM documents""",
-    "document_lexemes": f"SELECT doc_id, len({lexemes('text')}) AS lexemes, md5(array_to_string(list_sort({lexemes('text')}), ' ')) AS digest FROM documents",
+    "document_lexemes": f"""WITH l0 AS (SELECT doc_id, {lexemes('text')} AS l FROM documents),
+{collapse('l0', 'l1', CONCEPTS[0])},
+{collapse('l1', 'l2', CONCEPTS[1])}
+SELECT doc_id, len(l) AS lexemes, md5(array_to_string(list_sort(l), ' ')) AS digest FROM l2""",
     "facet_support": f"{DECIDE} SELECT request_id, facet_id, support FROM sp",
     "decide": f"""{DECIDE} SELECT request_id, CASE WHEN bool_and(support = 'direct') THEN 'answer' WHEN bool_or(support = 'direct') THEN 'partial_answer' ELSE 'insufficient' END AS decision,
   coalesce(string_agg(facet_id, ',' ORDER BY facet_no) FILTER (support <> 'direct'), '') AS missing FROM sp GROUP BY 1""",
