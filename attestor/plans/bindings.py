@@ -11,8 +11,19 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 
 
+TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """A driver table. A text table that arrives in fewer splits than there are cores is spread first, because its
+    rows are expensive to tokenise; on a large input the scan has enough splits and nothing is shuffled."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    if name in TEXT_KEYS:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            keys = ["conv_id", "turn"] if name == "conversations" else [TEXT_KEYS[name]]
+            return df.repartition(cores, *keys)
+    return df
 
 
 def document_rows(spark, sf_dir) -> DataFrame:

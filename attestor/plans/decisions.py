@@ -250,7 +250,7 @@ def proof_validity(spark, d):
 
 
 def _gold(spark, d):
-    gold = gold_documents(spark, d)
+    gold = gold_documents(spark, d).persist()  # read by units, plans and cases
     units = gold.select(F.col("request_id").alias("query_id"), F.lit("gold").alias("unit"), "chunk_id")
     plans = gold.groupBy(F.col("request_id").alias("query_id")).agg(F.array(F.min("chunk_id")).alias("document_ids")).withColumn("plan_id", F.lit(1)).withColumn("units", F.array(F.lit("gold")))
     cases = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 1).alias("family")).join(
@@ -263,7 +263,7 @@ def _scores(spark, d):
     cases, units, plans = _gold(spark, d)
     out = None
     for name, ranking in (("H", keyword_ranking(spark, d, 8)), ("L", second_ranking(spark, d, 8))):
-        hits = ranking.select(F.col("request_id").alias("query_id"), "rank", "chunk_id", F.col("chunk_id").alias("document_id"))
+        hits = ranking.select(F.col("request_id").alias("query_id"), "rank", "chunk_id", F.col("chunk_id").alias("document_id")).persist()
         rows = evaluation.score(cases, hits, units, plans, units.select("query_id", "chunk_id").where("false"), 8).withColumn("variant", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -16,23 +16,28 @@ LINK = ("struct<chunk_id:bigint,role:string,required:boolean,provenance:struct<k
         "target_unit_id:string,provenance_id:string,reference_text:string>>")
 
 
+def stored_index(chunks, fields=None, rule="corpus") -> DataFrame:
+    """The index a deployment would keep as a table; here it is kept for the session, since scoring reads it three times."""
+    return search.term_index(chunks, fields, rule).persist()
+
+
 def keyword_ranking(spark, d, k=50) -> DataFrame:
-    return search.bm25(requests(spark, d), search.term_index(document_rows(spark, d)), k)
+    return search.bm25(requests(spark, d), stored_index(document_rows(spark, d)), k)
 
 
 def second_ranking(spark, d, k=50) -> DataFrame:
-    return search.keyword_logtf(requests(spark, d), search.term_index(document_rows(spark, d), rule="dev"), k)
+    return search.keyword_logtf(requests(spark, d), stored_index(document_rows(spark, d), rule="dev"), k)
 
 
 def bm25_topk(spark, d):
-    hits = search.bm25(requests(spark, d), search.term_index(line_chunks(spark, d)), 50)
+    hits = search.bm25(requests(spark, d), stored_index(line_chunks(spark, d)), 50)
     return hits.select("request_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
 
 
 def bm25_fields_topk(spark, d):
     chunks = document_rows(spark, d)
     title = F.get(F.split("source_text", "\n"), F.lit(0))
-    index = search.term_index(chunks, {"source_text": F.col("source_text"), "title": title, "document_name": F.col("kb_id")})
+    index = stored_index(chunks, {"source_text": F.col("source_text"), "title": title, "document_name": F.col("kb_id")})
     hits = search.bm25_fields(requests(spark, d), index, k=20)
     return hits.select("request_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
 
@@ -162,7 +167,7 @@ def linked_lines(spark, d):
 
 
 def line_hits(spark, d, k=8):
-    return search.bm25(requests(spark, d), search.term_index(line_chunks(spark, d)), k).select("request_id", "chunk_id")
+    return search.bm25(requests(spark, d), stored_index(line_chunks(spark, d)), k).select("request_id", "chunk_id")
 
 
 def required_context(spark, d):
