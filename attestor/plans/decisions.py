@@ -59,7 +59,7 @@ def _candidates(spark, d):
         F.lit("complete").alias("context_state"), F.expr(NO_STRINGS).alias("dependency_issues"), F.expr(f"cast(array() as {REQUIRED})").alias("required"))
     nodes = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("node_id"))
     bound = table(spark, d, "benchmark").select(F.col("item_id").alias("request_id"), F.array(F.lit("en")).alias("binding_ids"))
-    return decision.candidates(rows, nodes, bound)
+    return decision.candidates(rows, nodes, bound).persist()  # read by matching and by rendering
 
 
 def _questions(spark, d):
