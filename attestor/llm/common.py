@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -71,11 +70,5 @@ def with_row(df: DataFrame) -> DataFrame:
 
 def only_rows(tagged: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of ``tagged`` whose ``_row`` is in ``kept``, without the tag."""
-    return tagged.join(broadcast_small(kept.select(ROW)), ROW, "left_semi").drop(ROW)
+    return tagged.join(broadcast_small(cut(kept.select(ROW))), ROW, "left_semi").drop(ROW)
 
-
-def write_path(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to a new Parquet table on shared storage and reads it back."""
-    path = os.path.join(new_folder(spark, name), "rows")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -80,6 +80,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                                          copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def sample_rows(docs: DataFrame, **options) -> DataFrame:
+    """Rows of ``docs``, each as often as the mix takes it, with their own columns."""
+    tagged = with_row(docs)
+    copies = cut(mix(tagged, **options).where("copies > 0").select(ROW, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy"))
+    return tagged.join(broadcast_small(copies), ROW).drop(ROW)
+
+
 def op10_source_mix(spark, d):
     return mix(with_row(read(spark, d, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
