@@ -1,7 +1,7 @@
 """All queries of this subpackage and their SQL twins."""
 
-from attestor.llm import byte_bpe, dedup, mixing, simhash, toxicity
+from attestor.llm import byte_bpe, dedup, mixing, quality, simhash, token_files, toxicity
 
-MODULES = (toxicity, dedup, simhash, byte_bpe, mixing)
+MODULES = (toxicity, token_files, dedup, simhash, quality, byte_bpe, mixing)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
