@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import SPACE_RUN, read, whole
+from attestor.llm.common import SPACE_RUN, cut, read, whole
 
 # Rule name -> condition over the measurements that fails a document. The order gives the bits and is part of the ledger's format.
 RULES = {
@@ -78,10 +78,11 @@ def fail_bits() -> Column:
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: the id, the measurements and ``fail_bits``; no shuffle.
 
-    A null text has no words, like an empty one. Other columns are ignored. An empty table gives no rows.
+    The rows are stored (a checkpoint on shared storage), so that a filter on a bit is never pushed into the measuring
+    expressions and no policy evaluates a rule again. A null text has no words, like an empty one. Other columns are ignored. An empty table gives no rows.
     """
     rows = measured(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    return rows.select(F.col("_doc.id").alias(id_col), "_m.*").withColumn("fail_bits", fail_bits())
+    return cut(rows.select(F.col("_doc.id").alias(id_col), "_m.*").withColumn("fail_bits", fail_bits()))
 
 
 def apply_policy(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
