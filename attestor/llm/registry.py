@@ -1,7 +1,7 @@
 """All queries of this subpackage and their SQL twins."""
 
-from attestor.llm import byte_bpe, dedup, mixing, pii, quality, simhash, token_files, toxicity
+from attestor.llm import byte_bpe, dedup, mixing, pii, quality, simhash, token_files, toxicity, url_rules
 
-MODULES = (toxicity, token_files, dedup, pii, simhash, quality, byte_bpe, mixing)
+MODULES = (toxicity, token_files, dedup, url_rules, pii, simhash, quality, byte_bpe, mixing)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
