@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -121,17 +123,19 @@ class TokenFile:
 class WordEncoder:
     """Encodes texts with the tokenizers library, word by word with a memory.
 
-    The tokenizer drops white space and never joins characters across it, so the ids of a text are those of its words; each
-    distinct word is given to the library once while the memory holds it.
+    The tokenizer drops white space, never joins characters across it, splits letters from the marks behind them and lower-cases.
+    So the ids of a text are those of its words, and of a word like ``Word,`` those of ``word`` and ``,``; each such part is
+    given to the library once while the memory holds it.
     """
 
     BLANK = re.compile("[ \\t-\\r]+")
+    MARKED = re.compile(r"([^\W\d_]+)([.,!?%*#$&|]+)").fullmatch
 
     def __init__(self, path: str, width: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = f"<u{width}"
+        self.code = {2: "H", 4: "I"}[width]
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -139,11 +143,20 @@ class WordEncoder:
         if len(known) > REMEMBERED:
             known.clear()
         split = [self.BLANK.split(t) for t in texts]
-        new = list({w for words in split for w in words if w not in known})
+        parts = {}
+        for word in {w for words in split for w in words if w not in known}:
+            marked = self.MARKED(word)
+            parts[word] = [p.lower() if p.isascii() and p.isalpha() else p for p in (marked.groups() if marked else (word,))]
+        new = list({p for pieces in parts.values() for p in pieces if p not in known})
         for at in range(0, len(new), 4096):
-            part = new[at: at + 4096]
-            for word, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = np.array(coded.ids, self.kind).tobytes()
+            some = new[at: at + 4096]
+            for part, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                ids = array(self.code, coded.ids)
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                known[part] = ids.tobytes()
+        for word, pieces in parts.items():
+            known[word] = b"".join([known[p] for p in pieces])
         return [b"".join([known[w] for w in words]) for words in split]
 
 

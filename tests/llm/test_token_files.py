@@ -37,7 +37,7 @@ def expected(rows):
 
 @pytest.mark.parametrize("file_tokens", [1, 50, 1 << 25])
 def test_files_give_back_the_ids(spark, file_tokens):
-    rows = [(5, "Hello World's 1234 <|endoftext|>x"), (5, "Hello World's 1234 <|endoftext|>x"), (-7, None), (None, "null id"), (2**40, "Élan\x1cvital\xa0don't é ́x İΣ"), (9, ""), (12, "wörter \n" * 20_000)]
+    rows = [(5, "Hello World's 1234 <|endoftext|>x <|STARTOFTEXT|>, WORD,. word"), (5, "Hello World's 1234 <|endoftext|>x <|STARTOFTEXT|>, WORD,. word"), (-7, None), (None, "null id"), (2**40, "Élan\x1cvital\xa0don't é ́x İΣ"), (9, ""), (12, "wörter \n" * 20_000)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, path string")
     got = tf.read_files(tf.write_files(docs, new_folder(spark, "t"), file_tokens=file_tokens)).collect()
     assert sorted(map(tuple, got), key=lambda r: r[1]) == expected(rows)
