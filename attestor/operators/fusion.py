@@ -136,16 +136,20 @@ def expand_relations(seeds: DataFrame, relations: DataFrame, evidence: DataFrame
 
 def revalidate_relations(found: DataFrame, relations: DataFrame, evidence: DataFrame, visible: DataFrame,
                          at: Column | None = None) -> DataFrame:
-    """keep found rows that are still identical, still in their interval and still visible. Never expands."""
+    """keep found rows that are still identical, conditions included, still in their interval and still visible. Never expands.
+
+    Rows found with their ``conditions`` (a map) are dropped when these have changed since.
+    """
     current = relations
     if at is not None:
         current = current.where((F.col("valid_from").isNull() | (F.col("valid_from") <= at))
                                 & (F.col("valid_until").isNull() | (F.col("valid_until") > at)))
-    now = current.select("relation_id", *[F.col(c).alias(f"now_{c}") for c in ("subject_id", "object_id", "relation_type")])
-    same = (
-        F.col("subject_id").eqNullSafe(F.col("now_subject_id")) & F.col("object_id").eqNullSafe(F.col("now_object_id"))
-        & F.col("relation_type").eqNullSafe(F.col("now_relation_type"))
-    )
+    identity = [c for c in ("subject_id", "object_id", "relation_type", "conditions") if c in found.columns and c in relations.columns]
+    plain = lambda c, df: F.to_json(F.array_sort(F.map_entries(c))) if c == "conditions" else F.col(c)
+    now = current.select("relation_id", *[plain(c, current).alias(f"now_{c}") for c in identity])
+    same = F.lit(True)
+    for c in identity:
+        same = same & plain(c, found).eqNullSafe(F.col(f"now_{c}"))
     return (
         found.join(now, "relation_id").where(same).select(found.columns)
         .join(evidence.select("relation_id", "chunk_id", "stance"), ["relation_id", "chunk_id", "stance"], "left_semi")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestor.functions import text as tx
 from attestor.functions.digests import row_digest
@@ -17,7 +18,7 @@ REFERENCE = (
     r"(\d+(?:\.\d+)*(?=\s|[.;。；，,()（）]|$)|[^\n.;。；，,()（）]{1,200}))"
 )
 SECTION_NUMBER = r"^(?:第\s*)?(\d+(?:\.\d+)*)(?:[\s.、章]|$)"
-MAX_LINKS, MAX_REFERENCES = 20, 20
+MAX_LINKS, MAX_REFERENCES, MAX_FACTS = 20, 20, 10000
 
 
 def structural_role(title: Column) -> Column:
@@ -71,6 +72,28 @@ def _on_cycle(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["version_id", "a"]].rename(columns={"a": "chunk_id"}).drop_duplicates()
 
 
+def _closing(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of one version whose target already leads back to their source; ``pdf`` has only links into chunks with links of their own."""
+    while True:
+        kept = pdf[pdf["b"].isin(set(pdf["a"])) & pdf["a"].isin(set(pdf["b"]))]
+        if len(kept) == len(pdf):
+            break
+        pdf = kept
+    if len(pdf) > MAX_FACTS * MAX_LINKS:
+        raise ValueError(f"version {pdf['version_id'].iloc[0]} has more than {MAX_FACTS} facts with {MAX_LINKS} links")
+    ahead: dict = {}
+    found = []
+    for row in pdf.sort_values(["place", "link_no"]).itertuples():
+        front, seen = [row.b], {row.b}
+        while front and row.a not in seen:
+            front = [n for c in front for n in ahead.get(c, ()) if n not in seen and not seen.add(n)]
+        if row.a in seen:
+            found.append((row.version_id, row.a, row.b))
+        else:
+            ahead.setdefault(row.a, []).append(row.b)
+    return pd.DataFrame(found, columns=["version_id", "chunk_id", "target_id"])
+
+
 def bind_continuations(chunks: DataFrame) -> DataFrame:
     """Unresolved pieces of one unit link to its first piece: ``chunk_id, target_id``."""
     open_pieces = chunks.where(F.col("dependency_unresolved") & F.col("source_unit_id").isNotNull())
@@ -118,11 +141,16 @@ def bind_references(chunks: DataFrame, section_of: DataFrame) -> tuple[DataFrame
     numbered = first.withColumn("link_no", F.row_number().over(order))
     limit = numbered.where(F.col("link_no") > MAX_LINKS).select("version_id", "chunk_id", F.lit("dependency_limit_exceeded").alias("code"))
     links = numbered.where(F.col("link_no") <= MAX_LINKS).select("version_id", "chunk_id", "target_id", "link_no", "m.role", "m.reference_text")
-    # a reference that closes a loop is an issue, not a link; two-chunk loops keep the link of the earlier source
-    back = links.select("version_id", F.col("target_id").alias("chunk_id"), F.col("chunk_id").alias("target_id"))
-    loops = links.join(back, ["version_id", "chunk_id", "target_id"], "left_semi").where("chunk_id > target_id")
+    # a reference that closes a loop of any length is an issue, not a link; links are taken in chunk order
+    places = section_of.groupBy("version_id", "chunk_id").agg(F.min("ordinal").alias("place"))
+    edges = links.select("version_id", F.col("chunk_id").alias("a"), F.col("target_id").alias("b"), "link_no")
+    for _ in range(2):
+        edges = edges.join(edges.select("version_id", F.col("a").alias("b")).distinct(), ["version_id", "b"], "left_semi").select("version_id", "a", "b", "link_no")
+    types = links.schema
+    loops = edges.join(places.withColumnRenamed("chunk_id", "a"), ["version_id", "a"]).groupBy("version_id").applyInPandas(
+        _closing, T.StructType([types[c] for c in ("version_id", "chunk_id", "target_id")]))
     cycle = loops.select("version_id", "chunk_id", F.lit("dependency_cycle").alias("code"))
-    links = links.join(loops.select("chunk_id", "target_id"), ["chunk_id", "target_id"], "left_anti")
+    links = links.join(loops, ["version_id", "chunk_id", "target_id"], "left_anti")
     return links, over.unionByName(issues).unionByName(limit).unionByName(cycle).distinct()
 
 

@@ -118,18 +118,24 @@ def heading_paths(marked: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     return h.select("doc_id", "line_no", "depth", "level", "title", path.alias("path"))
 
 
+def deep_headings(marked: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """B5 violations ``doc_id, line_no, code``: headings below the deepest allowed level; their version fails instead of losing titles."""
+    return heading_paths(marked, max_depth).where(F.col("level") > max_depth).select("doc_id", "line_no", F.lit("heading_depth_limit").alias("code"))
+
+
 def blocks(marked: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """B4 + B5: ``doc_id, block_no, text, start, end, title_path, markdown``.
 
     A blank line outside a fence ends a block, unless the block so far ends with a colon and a list follows.
     """
     order = Window.partitionBy("doc_id").orderBy("line_no")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("doc_id").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
     blank = F.length(tx.strip(F.col("line"))) == 0
     head = F.col("depth").isNotNull() | F.col("underline")
     rows = marked.withColumn("blank", blank & ~F.col("fenced") & ~head).withColumn("head", head)
     rows = rows.withColumn("previous", F.last(F.when(~blank, F.struct("line", "head")), ignorenulls=True).over(before))
-    rows = rows.withColumn("following", F.first(F.when(~blank, F.col("line")), ignorenulls=True).over(after))
+    rows = rows.withColumn("following", F.last(F.when(~blank, F.col("line")), ignorenulls=True).over(after))
     keeps = (
         F.coalesce(~F.col("previous.head") & tx.strip(F.col("previous.line")).rlike("[:：]$"), F.lit(False))
         & F.coalesce(F.col("following").rlike(LIST_START), F.lit(False))

@@ -194,10 +194,16 @@ def required_closure(edges: DataFrame, max_depth: int = CLOSURE_DEPTH, max_nodes
     return rows.select("doc_id", "main", F.slice("node_keys", 1, max_nodes).alias("node_keys"), issue.alias("issue"))
 
 
-def graph_digest(nodes: DataFrame, edges: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Digest of all nodes and edges of a version, independent of row order."""
+def graph_digest(nodes: DataFrame, edges: DataFrame, key: str = "doc_id", units: DataFrame | None = None, scopes: DataFrame | None = None) -> DataFrame:
+    """Digest of all nodes, edges, units and scopes of a version, independent of row order.
+
+    ``units`` and ``scopes`` have ``key`` and any other columns; all of them count.
+    """
     rows = nodes.select(key, row_digest(F.lit("n"), "node_key", "parent_key", "kind", "text").alias("h")).unionByName(
         edges.select(key, row_digest(F.lit("e"), "source_key", "target_key", "type").alias("h")))
+    for mark, part in (("u", units), ("s", scopes)):
+        if part is not None:
+            rows = rows.unionByName(part.select(key, row_digest(F.lit(mark), F.to_json(F.struct(*sorted(c for c in part.columns if c != key)))).alias("h")))
     return rows.groupBy(key).agg(multiset_digest(F.col("h")).alias("digest"))
 
 

@@ -44,11 +44,10 @@ def document_lexemes(spark, d):
 
 
 def _facets(spark, d):
-    """Sentences of the benchmark texts as parts of the question (at most eight)."""
+    """Sentences of the benchmark texts as parts of the question; more than eight parts are one facet, as everywhere."""
     rows = table(spark, d, "benchmark")
-    parts = F.slice(F.filter(F.split("text", r"\. "), lambda x: F.length(x) > 0), 1, 8)
-    return rows.select(F.col("item_id").alias("request_id"), F.posexplode(parts).alias("i", "facet")).select(
-        "request_id", (F.col("i") + 1).alias("facet_no"), F.concat(F.lit("f"), F.col("i") + 1).alias("facet_id"), "facet")
+    asked = rows.select(F.col("item_id").alias("request_id"), F.regexp_replace("text", r"\. ", "? ").alias("question"))
+    return decision.split_facets(asked).select("request_id", "facet_no", "facet_id", "facet")
 
 
 def _candidates(spark, d):
@@ -70,18 +69,18 @@ def _matches(spark, d):
     return decision.facet_matches(_facets(spark, d), _candidates(spark, d), _questions(spark, d))
 
 
-def _support(spark, d, with_conflicts=True):
+def _support(spark, d):
     matches = _matches(spark, d).persist()  # read by the conflict, support and cover steps
     found = decision.conflicts(matches)
-    return decision.facet_support(_facets(spark, d), matches, found if with_conflicts else found.where("false")), matches
+    return decision.facet_support(_facets(spark, d), matches, found), matches
 
 
 def facet_support(spark, d):
-    return _support(spark, d, False)[0].select("request_id", "facet_id", "support")
+    return _support(spark, d)[0].select("request_id", "facet_id", "support")
 
 
 def decide(spark, d):
-    out = decision.decide(_support(spark, d, False)[0])
+    out = decision.decide(_support(spark, d)[0])
     return out.select("request_id", "decision", F.array_join("missing", ",").alias("missing"))
 
 

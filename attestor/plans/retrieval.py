@@ -116,7 +116,7 @@ def fused_hits(spark, d, k=50):
 
 def literal_coverage(spark, d):
     hits = keyword_ranking(spark, d, 20).join(document_rows(spark, d), "chunk_id").join(requests(spark, d).select("request_id", "query"), "request_id")
-    return hits.select("request_id", "chunk_id", F.round(selection.literal_coverage(F.col("query"), F.col("source_text")), 6).alias("coverage"))
+    return hits.select("request_id", "chunk_id", F.round(selection.literal_coverage(F.col("query"), F.col("source_text"), F.col("kb_id"), F.col("lang")), 6).alias("coverage"))
 
 
 def scoped_documents(spark, d):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,19 +43,3 @@ def broadcast_bounded(df: DataFrame, bound: DataFrame, max_rows: int = BROADCAST
     """
     return F.broadcast(df) if fits_broadcast(bound, max_rows) else df
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
-
-    The folder is read from the session; only where the cluster names none (tests)
-    is one created next to the warehouse.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            warehouse = spark.conf.get("spark.sql.warehouse.dir")
-            configured = os.path.join(warehouse, "_checkpoints")
-        context.setCheckpointDir(configured)
-    return df.checkpoint(eager=True)

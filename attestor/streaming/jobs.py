@@ -89,8 +89,11 @@ def job_state(events: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """K4 batch twin: status, attempts and next attempt per job from its events ``job_id, seq, ts, kind``.
 
     ``kind``: queued, claimed, succeeded or error. An error waits min(60, 2^attempts) seconds and queues again until the
-    attempts run out; success is final.
+    attempts run out; success is final, and what follows it is ignored, as in the stream. Leases expire in the stream only: they
+    depend on the time of processing.
     """
+    first = events.where("kind = 'succeeded'").groupBy("job_id").agg(F.min("seq").alias("final"))
+    events = events.join(first, "job_id", "left").where(F.col("final").isNull() | (F.col("seq") <= F.col("final")))
     rows = events.groupBy("job_id").agg(
         F.count_if(F.col("kind") == "claimed").alias("attempts"), F.max_by(F.struct("kind", "ts"), "seq").alias("last"),
         F.bool_or(F.col("kind") == "succeeded").alias("done"), F.max("seq").alias("seq"))
@@ -110,22 +113,26 @@ class JobStates(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("job", "status string, attempts int, seq long")
+        self.state = handle.getValueState("job", "status string, attempts int, seq long, lease long")
 
     def _row(self, key, status, attempts, seq, retry_at=None):
         return pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": [attempts], "next_attempt_at": pd.to_datetime([retry_at]), "seq": [seq]})
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        status, attempts, seq = self.state.get() if self.state.exists() else ("queued", 0, -1)
+        status, attempts, seq, lease = self.state.get() if self.state.exists() else ("queued", 0, -1, None)
         retry_at = None
         frame = pd.concat(list(rows)).sort_values("seq")
         for event in frame.itertuples():
             if event.seq <= seq or status == "succeeded":
                 continue
             seq, retry_at = event.seq, None
+            if lease is not None:  # a lease ends with the claim that took it
+                self.handle.deleteTimer(lease)
+                lease = None
             if event.kind == "claimed":
                 status, attempts = "running", attempts + 1
-                self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + 1000 * self.lease_seconds)
+                lease = int(timer_values.getCurrentProcessingTimeInMs() + 1000 * self.lease_seconds)
+                self.handle.registerTimer(lease)
             elif event.kind == "error":
                 status = "failed" if attempts >= self.max_attempts else "queued"
                 if status == "queued":
@@ -134,15 +141,15 @@ class JobStates(StatefulProcessor):
                 status = "succeeded"
             else:
                 status = "queued"
-        self.state.update((status, int(attempts), int(seq)))
+        self.state.update((status, int(attempts), int(seq), lease))
         yield self._row(key, status, attempts, seq, retry_at)
 
     def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
         if self.state.exists():
-            status, attempts, seq = self.state.get()
-            if status == "running":
+            status, attempts, seq, lease = self.state.get()
+            if status == "running" and lease == expired_timer_info.getExpiryTimeInMs():
                 status = "failed" if attempts >= self.max_attempts else "queued"
-                self.state.update((status, attempts, seq))
+                self.state.update((status, attempts, seq, None))
                 yield self._row(key, status, attempts, seq)
 
     def close(self) -> None:

@@ -37,7 +37,7 @@ def except_(a, b):
 
 FACETS = f"""
 fc AS (SELECT item_id AS request_id, i AS facet_no, 'f' || i AS facet_id, p[i] AS facet FROM (
-  SELECT item_id, list_filter(string_split(text, '. '), lambda x: length(x) > 0)[1:8] AS p FROM benchmark), unnest(range(1, len(p) + 1)) AS t(i)),
+  SELECT item_id, CASE WHEN len(p) > 8 THEN [text] ELSE p END AS p FROM (SELECT item_id, text, list_filter(string_split(text, '. '), lambda x: length(trim(x)) > 0) AS p FROM benchmark)), unnest(range(1, len(p) + 1)) AS t(i)),
 ft AS (SELECT request_id, facet_no, facet_id, {except_(lexemes('facet'), FACET_STOP)} AS terms FROM fc),
 cd AS (SELECT bm.request_id, bm.chunk_id, bm.rank, lang, {lexemes("source_text || chr(10) || kb_id")} AS terms, {lexemes('lang')} AS subject_terms FROM bm JOIN chunks USING (chunk_id)),
 mt AS (SELECT f.request_id, f.facet_no, f.facet_id, c.chunk_id, c.rank, c.lang, {except_('f.terms', 'c.subject_terms')} AS need, c.terms AS have FROM ft f JOIN cd c USING (request_id)),

@@ -130,7 +130,8 @@ SELECT user_id AS generation_id, CASE WHEN ev = 'active' AND act < (SELECT max(e
     "publication_state": f"""WITH e AS (SELECT user_id, event_id, {kind('publish', 'publish', 'switch', 'publish', 'delete')} AS k FROM events)
 SELECT user_id AS document_id, arg_max(k, event_id) AS kind, CASE WHEN arg_max(k, event_id) <> 'delete' THEN max(event_id) END AS active_version_id, max(event_id) AS seq FROM e GROUP BY 1""",
     "job_state": f"""WITH e AS (SELECT user_id || ':' || strftime(ts, '%Y%m%d%H') AS job_id, event_id, ts, {kind('queued', 'claimed', 'succeeded', 'claimed', 'error')} AS k FROM events),
-g AS (SELECT job_id, count(*) FILTER (k = 'claimed') AS a, arg_max(k, event_id) AS k, arg_max(ts, event_id) AS ts, bool_or(k = 'succeeded') AS done FROM e GROUP BY 1)
+d AS (SELECT * FROM e QUALIFY event_id <= coalesce(min(event_id) FILTER (k = 'succeeded') OVER (PARTITION BY job_id), event_id)),
+g AS (SELECT job_id, count(*) FILTER (k = 'claimed') AS a, arg_max(k, event_id) AS k, arg_max(ts, event_id) AS ts, bool_or(k = 'succeeded') AS done FROM d GROUP BY 1)
 SELECT job_id, CASE WHEN done THEN 'succeeded' WHEN k = 'claimed' THEN 'running' WHEN k = 'error' AND a >= 3 THEN 'failed' ELSE 'queued' END AS status, a AS attempts,
   CASE WHEN NOT done AND k = 'error' AND a < 3 THEN strftime(ts + to_seconds(least(60, 2 ** a)::INT), '%Y-%m-%d %H:%M:%S') END AS next_attempt FROM g""",
     "stale_versions": """WITH l AS (SELECT user_id, arg_max(event_type, event_id) AS k FROM events GROUP BY 1)

@@ -71,7 +71,7 @@ FROM f QUALIFY position <= 8""",
     "weighted_fusion": f"{HYBRID} SELECT request_id, chunk_id, position, round(score, 8) AS score, sources FROM fused WHERE position <= 20",
     "literal_coverage": f"""WITH {DOCS},{bm25(k=20)}
 SELECT bm.request_id, bm.chunk_id, round(CASE WHEN len({word_set('b.text')}) = 0 THEN 0.0 ELSE
-  len(list_intersect({word_set('b.text')}, {word_set('c.source_text')})) / len({word_set('b.text')}) END, 6) AS coverage
+  len(list_intersect({word_set('b.text')}, {word_set("c.source_text || chr(10) || c.kb_id || chr(10) || c.lang")})) / len({word_set('b.text')}) END, 6) AS coverage
 FROM bm JOIN benchmark b ON b.item_id = bm.request_id JOIN chunks c ON c.chunk_id = bm.chunk_id""",
     "evidence_dedup": """SELECT lang AS request_id, min(doc_id) AS chunk_id FROM documents
 GROUP BY lang, source, regexp_replace(text, '^\\s+|\\s+$', '', 'g')""",
