@@ -9,37 +9,54 @@ from pyspark.sql import functions as F
 WILSON_Z = 1.959963984540054  # fixed value: 97.5 % point of the normal distribution
 
 
-def match_units(hits: DataFrame, gold_units: DataFrame, k: int = 20) -> DataFrame:
+def match_units(hits: DataFrame, gold_units: DataFrame, k: int | None = 20) -> DataFrame:
     """Maximum one-to-one matching of result positions and gold units: ``query_id, matched``.
 
-    ``hits(query_id, rank, chunk_id)``, ``gold_units(query_id, unit, chunk_id)`` (alternatives are OR). Where no
-    chunk serves two units, counting units is the matching; only queries with shared chunks (at most ``k``
-    positions each) go through the augmenting-path kernel.
+    ``hits(query_id, rank, chunk_id)``, ``gold_units(query_id, unit, chunk_id)`` (alternatives are OR); ``k`` None takes every
+    rank. Where no position serves two units, counting units is the matching; only the other queries go through the kernel,
+    with their edges alone.
     """
-    edges = hits.where(F.col("rank") <= k).join(gold_units, ["query_id", "chunk_id"]).select("query_id", "rank", "unit").distinct()
-    shared = edges.groupBy("query_id", "rank").agg(F.count("*").alias("n")).where("n > 1").select("query_id").distinct()
-    simple = edges.join(shared, "query_id", "left_anti").groupBy("query_id").agg(F.count_distinct("unit").alias("matched"))
+    ranked = hits if k is None else hits.where(F.col("rank") <= k)
+    edges = ranked.join(gold_units, ["query_id", "chunk_id"]).select("query_id", "rank", "unit").distinct()
+    states = edges.groupBy("query_id", "rank").agg(F.collect_list("unit").alias("units")).groupBy("query_id").agg(
+        (F.max(F.size("units")) > 1).alias("shared"), F.size(F.array_distinct(F.flatten(F.collect_list("units")))).cast("long").alias("matched"), F.collect_list(F.struct("rank", "units")).alias("choices"))
     id_type = hits.schema["query_id"].dataType.simpleString()
-    hard = edges.join(shared, "query_id", "left_semi").groupBy("query_id").applyInPandas(_matching, f"query_id {id_type}, matched long")
+    simple = states.where(~F.col("shared")).select("query_id", "matched")
+    hard = states.where("shared").select("query_id", "choices").mapInPandas(_matchings, f"query_id {id_type}, matched long")
     return simple.unionByName(hard)
 
 
-def _matching(pdf: pd.DataFrame) -> pd.DataFrame:
-    choices = {rank: list(group["unit"]) for rank, group in pdf.sort_values(["rank", "unit"]).groupby("rank")}
-    owner = {}
-
-    def place(rank, seen):
-        for unit in choices[rank]:
-            if unit not in seen:
-                seen.add(unit)
-                if unit not in owner or place(owner[unit], seen):
-                    owner[unit] = rank
-                    return True
-        return False
-
-    for rank in choices:
-        place(rank, set())
-    return pd.DataFrame({"query_id": [pdf["query_id"].iloc[0]], "matched": [len(owner)]})
+def _matchings(batches):
+    for batch in batches:
+        yield pd.DataFrame({"query_id": batch["query_id"], "matched": [_matched({c["rank"]: sorted(c["units"]) for c in row}) for row in batch["choices"]]})
+
+
+def _matched(choices: dict) -> int:
+    """Size of a maximum matching: breadth-first search for an alternating path to a free unit, position by position."""
+    holder: dict = {}
+    for start in sorted(choices):
+        came, queue, free = {}, [start], None
+        for rank in queue:
+            for unit in choices[rank]:
+                if unit in came:
+                    continue
+                came[unit] = rank
+                if unit not in holder:
+                    free = unit
+                    break
+                queue.append(holder[unit])
+            if free is not None:
+                break
+        while free is not None:
+            rank = came[free]
+            previous = next((u for u, r in holder.items() if r == rank), None)
+            holder[free] = rank
+            if previous is not None:
+                del holder[previous]
+            free = None if rank == start else previous
+            if free is not None and came[free] == rank:
+                raise AssertionError("an alternating path never repeats a position")
+    return len(holder)
 
 
 def score(queries: DataFrame, hits: DataFrame, gold_units: DataFrame, gold_plans: DataFrame, forbidden: DataFrame, k: int = 8) -> DataFrame:
@@ -91,14 +108,35 @@ def summarize(scores: DataFrame) -> DataFrame:
         F.avg("multi_complete").alias("multi_complete_mean"), F.avg("misleading").alias("misleading_mean"), F.sum("forbidden_hits").alias("forbidden_hits"))
 
 
+PERCENTILE_BINS = 4096
+
+
 def percentiles(df: DataFrame, column: str, keys: list[str], fractions=(0.5, 0.95, 0.99)) -> DataFrame:
-    """I4: linear interpolation (``p``) and nearest rank (``nearest``) per group."""
-    aggregates = []
-    for f in fractions:
-        name = f"{f * 100:g}".replace(".", "_")
-        aggregates.append(F.percentile(column, F.lit(f)).alias(f"p{name}"))
-        aggregates.append(F.expr(f"percentile_disc({f}) within group (order by {column})").alias(f"nearest{name}"))
-    return df.groupBy(*keys).agg(*aggregates)
+    """I4: linear interpolation (``p``) and nearest rank (``nearest``) per group; null values do not count.
+
+    Values are counted first, then summed per group and bin of the value range. Only the bins that hold a wanted place are
+    put in order, so no task sees all values of a group.
+    """
+    label = [f"{f * 100:g}".replace(".", "_") for f in fractions]
+    values = df.where(F.col(column).isNotNull()).select(F.struct(*keys).alias("g"), F.col(column).cast("double").alias("v")).groupBy("g", "v").agg(F.count("*").alias("n"))
+    facts = values.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("total"))
+    share = F.when(F.col("high") > F.col("low"), (F.col("v") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
+    binned = values.join(facts, "g").withColumn("bin", F.floor(share * PERCENTILE_BINS))
+    upto = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = binned.groupBy("g", "bin").agg(F.sum("n").alias("size"), F.first("total").alias("total")).withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0)))
+    places = F.array(*[place for f, x in zip(fractions, label) for place in (
+        F.struct(F.lit(f"low{x}").alias("name"), F.floor(F.lit(f) * (F.col("total") - 1)).cast("long").alias("k")), F.struct(F.lit(f"high{x}").alias("name"), F.ceil(F.lit(f) * (F.col("total") - 1)).cast("long").alias("k")),
+        F.struct(F.lit(f"nearest{x}").alias("name"), F.greatest(F.ceil(F.lit(f) * F.col("total")) - 1, F.lit(0)).cast("long").alias("k")))])
+    wanted = bins.select("g", "bin", "before", "size", F.explode(places).alias("p")).where((F.col("p.k") >= F.col("before")) & (F.col("p.k") < F.col("before") + F.col("size")))
+    inside = Window.partitionBy("g", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    held = binned.join(wanted.select("g", "bin", "before").distinct(), ["g", "bin"]).withColumn("at", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    found = held.select("g", "bin", "v", "n", "at", "total").join(wanted.select("g", "bin", "p"), ["g", "bin"]).where((F.col("p.k") >= F.col("at")) & (F.col("p.k") < F.col("at") + F.col("n")))
+    one = found.groupBy("g").agg(F.first("total").alias("total"), *[F.max(F.when(F.col("p.name") == name, F.col("v"))).alias(name) for x in label for name in (f"low{x}", f"high{x}", f"nearest{x}")])
+    out = []
+    for f, x in zip(fractions, label):
+        place = F.lit(f) * (F.col("total") - 1)
+        out += [(F.col(f"low{x}") + (F.col(f"high{x}") - F.col(f"low{x}")) * (place - F.floor(place))).alias(f"p{x}"), F.col(f"nearest{x}")]
+    return one.select("g.*", *out)
 
 
 def paired_bootstrap(baseline: DataFrame, comparison: DataFrame, metric: str, iterations: int = 1000, seed: int = 17) -> DataFrame:
@@ -174,7 +212,7 @@ def retrieval_metrics(cases: DataFrame, hits: DataFrame, gold_units: DataFrame,
     found = parts.join(gold_units, ["query_id", "chunk_id"]).groupBy("query_id").agg(
         F.count_distinct("unit").alias("covered"), F.min("rank").alias("first"),
         F.count_distinct(F.when(F.coalesce("context_state", F.lit("")) != "unresolved", F.col("unit"))).alias("safe"))
-    matched = match_units(parts.select("query_id", "rank", "chunk_id"), gold_units, 1_000_000)
+    matched = match_units(parts.select("query_id", "rank", "chunk_id"), gold_units, None)
     bad = parts.join(forbidden, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.count_distinct("chunk_id").alias("forbidden_count"))
     returned = hits.groupBy("query_id").agg(F.count("*").alias("returned"), F.sum("bytes").alias("hits_bytes"))
     rows = cases
