@@ -6,7 +6,6 @@ exception is :func:`nfkc`, because Spark has no Unicode normalisation function.
 
 from __future__ import annotations
 
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -156,12 +155,13 @@ def condition_clauses(text: Column) -> Column:
 
 
 def _normalize_batch(text: pd.Series) -> pd.Series:
-    return text.map(lambda value: None if value is None else unicodedata.normalize("NFKC", value))
+    return text.str.normalize("NFKC")
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode compatibility form; plain ASCII rows skip the Arrow hop's work cheaply in pandas."""
-    return F.pandas_udf(_normalize_batch, "string")(text)
+    """Unicode compatibility form. ASCII texts, which it leaves as they are, are not sent to Python."""
+    odd = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    return F.coalesce(F.pandas_udf(_normalize_batch, "string")(odd), text)
 
 
 def _stem_pair(word: Column, cut: int) -> Column:

@@ -144,25 +144,20 @@ def exact_search(requests: DataFrame, chunks: DataFrame, k: int = 50) -> DataFra
     version (score 5), or the phrase: chunks are first joined on the query's longest
     word, then the phrase is checked on those rows only.
     """
-    asked = requests.select(
-        "request_id", F.trim("query").alias("query"), F.explode("kb_ids").alias("kb_id"),
-    ).withColumn("lowered", F.lower("query"))
+    scoped, kbs = _scopes(requests)  # bases are checked by scope after the term join, so no request is repeated per base
+    asked = scoped.select("request_id", "scope_id", F.trim("query").alias("query")).withColumn("lowered", F.lower("query"))
     own = tx.identifier_terms(F.col("query"))
     asked = asked.withColumn("single", (F.size(own) == 1) & (F.get(own, F.lit(0)) == tx.fold(F.col("query"))))
-    small = lambda df: broadcast_bounded(df, requests.select(F.explode("kb_ids")))
+    bases = broadcast_bounded(kbs, requests.select(F.explode("kb_ids")))
 
-    by_identifier = (
-        chunks.select("chunk_id", "kb_id", F.explode("identifiers").alias("term"))
-        .join(small(asked.where("single").select("request_id", "kb_id", F.col("lowered").alias("term"))), ["kb_id", "term"])
-        .select("request_id", "chunk_id", F.lit(1.0).alias("score"))
-    )
-    by_field = (
-        chunks.select("chunk_id", "kb_id", F.explode(F.array_distinct(F.concat("models", "versions"))).alias("term"))
-        .join(small(asked.where("not single").select("request_id", "kb_id", F.col("query").alias("term"))), ["kb_id", "term"])
-        .select("request_id", "chunk_id", F.lit(5.0).alias("score"))
-    )
-    by_phrase = phrase_hits(asked.where("not single").select("request_id", "kb_id", "query"), chunks, requests.select(F.explode("kb_ids"))) \
-        .select("request_id", "chunk_id", F.lit(1.0).alias("score"))
+    def by_term(terms: Column, wanted: DataFrame, score: float) -> DataFrame:
+        found = chunks.select("chunk_id", "kb_id", F.explode(terms).alias("term")).join(broadcast_bounded(wanted, requests), "term")
+        return found.join(bases, ["scope_id", "kb_id"]).select("request_id", "chunk_id", F.lit(score).alias("score"))
+
+    by_identifier = by_term(F.col("identifiers"), asked.where("single").select("request_id", "scope_id", F.col("lowered").alias("term")), 1.0)
+    by_field = by_term(F.array_distinct(F.concat("models", "versions")), asked.where("not single").select("request_id", "scope_id", F.col("query").alias("term")), 5.0)
+    phrases = asked.where("not single").join(kbs, "scope_id").select("request_id", "kb_id", "query")
+    by_phrase = phrase_hits(phrases, chunks, requests.select(F.explode("kb_ids"))).select("request_id", "chunk_id", F.lit(1.0).alias("score"))
     hits = (
         by_identifier.unionByName(by_field).unionByName(by_phrase)
         .groupBy("request_id", "chunk_id").agg(F.sum("score").alias("score"))
@@ -180,12 +175,14 @@ def phrase_hits(asked: DataFrame, chunks: DataFrame, bound: DataFrame) -> DataFr
     longest = F.get(F.array_sort(words, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a))
                                  .when(a < b, -1).when(a > b, 1).otherwise(0)), F.lit(0))
     anchors = asked.select("request_id", "kb_id", F.lower("query").alias("lowered"), longest.alias("anchor"))
-    body = chunks.select("chunk_id", "kb_id", "search_text", F.explode(
-        F.array_distinct(tx.tokens(F.col("search_text"), "selection"))).alias("anchor"))
-    return (
-        body.join(broadcast_bounded(anchors, bound), ["kb_id", "anchor"])
-        .where(F.contains(F.lower("search_text"), F.col("lowered"))).select("request_id", "chunk_id").distinct()
-    )
+    found = F.array_distinct(tx.tokens(F.col("search_text"), "selection"))
+    body = chunks.select("chunk_id", "kb_id", "search_text", found.alias("words"))
+    if fits_broadcast(bound):
+        # only words that some query asks for leave the row, so a text is copied once per anchor it holds, not once per word
+        wanted = anchors.groupBy("kb_id").agg(F.collect_set("anchor").alias("wanted"))
+        body = body.join(F.broadcast(wanted), "kb_id").withColumn("words", F.array_intersect("words", "wanted"))
+    hits = body.select("chunk_id", "kb_id", "search_text", F.explode("words").alias("anchor")).join(broadcast_bounded(anchors, bound), ["kb_id", "anchor"])
+    return hits.where(F.contains(F.lower("search_text"), F.col("lowered"))).select("request_id", "chunk_id").distinct()
 
 
 # --- vectors -------------------------------------------------------------------------
