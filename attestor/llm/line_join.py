@@ -7,6 +7,7 @@ that meet under a key are verified by a banded bit-parallel edit distance.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from os.path import commonprefix
 
 import numpy as np
@@ -21,6 +22,7 @@ from attestor.llm.simhash import components
 
 EDITS = 2
 MIN_CHARS = 20  # shorter lines are linked only when they are equal
+MASK64 = (1 << 64) - 1
 BLOCK = 1500  # lines of one side that one task compares under one key
 
 
@@ -81,17 +83,29 @@ def within(a: str, b: str, edits: int) -> bool:
     return bool(states[edits] >> (len(a) - len(b) + edits) & 1)
 
 
+@lru_cache(maxsize=1 << 16)
+def cuts(length: int, edits: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """Where a line of this length is cut: (hash seed for indexed length and segment, start, end), and which cuts are its own segments.
+
+    A line that looks up its own segment at its own place is left out: its own entry stands for both.
+    """
+    own = [(seed_of(length, i), at, to) for i, (at, to) in enumerate(segments(length, edits))]
+    looked = [(seed_of(other, i), at, at + size) for other in range(length - edits, length + 1)
+              for i, (size, low, high) in enumerate(windows(length, other, edits)) for at in range(low, high + 1)]
+    looked = [c for c in looked if c not in own]
+    return own + looked, np.arange(len(own) + len(looked)) < len(own)
+
+
+def seed_of(length: int, segment: int) -> int:
+    return length << 8 | segment
+
+
 def entry_keys(line: str, edits: int):
     """(key, own) of a line: its segments under its length, and the substrings it looks up."""
     from xxhash import xxh64_intdigest
 
-    n = len(line)
-    for i, (at, to) in enumerate(segments(n, edits)):
-        yield xxh64_intdigest(f"{n} {i} {line[at:to]}", 7), True
-    for other in range(n - edits, n + 1):
-        for i, (size, low, high) in enumerate(windows(n, other, edits)):
-            for at in range(low, high + 1):
-                yield xxh64_intdigest(f"{other} {i} {line[at:at + size]}", 7), False
+    places, own = cuts(len(line), edits)
+    return [(xxh64_intdigest(line[at:to], seed), bool(mine)) for (seed, at, to), mine in zip(places, own)]
 
 
 def first_key(long: str, short: str, edits: int) -> int | None:
@@ -101,7 +115,7 @@ def first_key(long: str, short: str, edits: int) -> int | None:
     for i, ((at, to), (_, low, high)) in enumerate(zip(segments(len(short), edits), windows(len(long), len(short), edits))):
         part = short[at:to]
         if low <= high and long.find(part, low, high + len(part)) >= 0:
-            return xxh64_intdigest(f"{len(short)} {i} {part}", 7)
+            return xxh64_intdigest(part, seed_of(len(short), i))
     return None
 
 
@@ -119,32 +133,48 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def entries(lines: DataFrame, edits: int) -> DataFrame:
     """``key``, ``mark`` (64-bit line hash) and ``own`` per line and key; equal lines of one batch give their rows once."""
     def run(batches):
+        from xxhash import xxh64_intdigest
+
         for batch in batches:
             for part in slices(batch, 0, 1 << 19):
-                table: list[tuple[int, int, bool]] = []
+                keys, marks, owns = [], [], []
                 for line, mark in set(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
-                    table += {(key, mark, own) for key, own in entry_keys(line, edits)}
-                if table:
-                    keys, marks, own = zip(*table)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(marks, pa.int64()), pa.array(own)], names=["key", "mark", "own"])
+                    places, own = cuts(len(line), edits)
+                    keys += [xxh64_intdigest(line[at:to], seed) for seed, at, to in places]
+                    marks.append(np.full(len(places), mark, np.int64))
+                    owns.append(own)
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(np.concatenate(marks)), pa.array(np.concatenate(owns))], names=["key", "mark", "own"])
 
     return lines.select("line", "mark").mapInArrow(run, "key long, mark long, own boolean")
 
 
 def compare(frame: pd.DataFrame, edits: int) -> pd.DataFrame:
-    """Verified links of one key and block pair: per line their number, and a spanning set of links.
+    """Verified links of the keys of one group and block pair: per line their number, and a spanning set of links."""
+    frame = frame.sort_values("key", kind="stable")
+    keys, low, high = frame["key"].to_numpy(), frame["low"].to_numpy(), frame["high"].to_numpy()
+    lines, names, block = frame["line"].tolist(), frame["h"].tolist(), frame["block"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else []
+    links: dict[str, int] = {}
+    edges: list[tuple[str, str, int]] = []
+    for at, to in zip(starts, [*starts[1:], len(keys)]):
+        texts = {(names[i], int(block[i])): lines[i] for i in range(at, to)}
+        one_key(int(keys[at]), int(low[at]), int(high[at]), [(h, b, x) for (h, b), x in texts.items()], edits, links, edges)
+    return pd.DataFrame([(h, None, n) for h, n in links.items()] + edges, columns=["a", "b", "n"])
+
 
-    Lengths and letter counts (an edit changes at most two of them by one) reject most pairs as arrays before texts are compared.
+def one_key(key: int, low: int, high: int, rows: list[tuple[str, int, str]], edits: int, links: dict[str, int], edges: list[tuple[str, str, int]]) -> None:
+    """Compares the lines of one key: block ``low`` with block ``high``, or one block with itself.
+
+    In large groups, lengths and letter counts (an edit changes at most two of them by one) reject most pairs as arrays before texts are compared.
     """
-    frame = frame.drop_duplicates(["h", "block"])
-    key, low, high = (int(frame[c].iloc[0]) for c in ("key", "low", "high"))
-    lines, names, block = frame["line"].tolist(), frame["h"].tolist(), frame["block"].to_numpy()
-    counts = np.zeros((len(lines), 64), np.int32)
-    for i, line in enumerate(lines):
-        counts[i] = np.bincount(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4") & 63, minlength=64)
-    sizes = np.array([len(x) for x in lines])
-    first, second = np.flatnonzero(block == low), np.flatnonzero(block == high)
-    links, root, edges = np.zeros(len(lines), np.int64), list(range(len(lines))), []
+    first, second = ([i for i, r in enumerate(rows) if r[1] == side] for side in (low, high))
+    sizes = np.array([len(r[2]) for r in rows])
+    counts = None
+    if len(rows) > 24:
+        counts = np.stack([np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") & 63, minlength=64) for _, _, x in rows]).astype(np.int32)
+        second = np.array(second)
+    root = list(range(len(rows)))
 
     def top(i):
         while root[i] != i:
@@ -153,20 +183,22 @@ def compare(frame: pd.DataFrame, edits: int) -> pd.DataFrame:
         return i
 
     for i in first:
-        others = second[second > i] if low == high else second
-        others = others[np.abs(sizes[others] - sizes[i]) <= edits]
-        others = others[np.abs(counts[others] - counts[i]).sum(axis=1) <= 2 * edits]
+        if counts is None:
+            others = [j for j in second if (j > i or low != high) and abs(sizes[j] - sizes[i]) <= edits]
+        else:
+            others = second[second > i] if low == high else second
+            others = others[np.abs(sizes[others] - sizes[i]) <= edits]
+            others = others[np.abs(counts[others] - counts[i]).sum(axis=1) <= 2 * edits].tolist()
         for j in others:
-            long, short = (i, j) if (sizes[i], lines[i]) > (sizes[j], lines[j]) else (j, i)
-            found = first_key(lines[long], lines[short], edits)
-            if found is not None and int(signed([found])[0]) == key and within(lines[long], lines[short], edits):
-                links[i] += 1
-                links[j] += 1
-                a, b = top(int(i)), top(int(j))
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    edges.append((names[i], names[j], 0))
-    return pd.DataFrame([(names[i], None, int(links[i])) for i in np.flatnonzero(links)] + edges, columns=["a", "b", "n"])
+            (a, _, x), (b, _, y) = rows[i], rows[j]
+            long, short = (x, y) if (len(x), x) > (len(y), y) else (y, x)
+            found = first_key(long, short, edits)
+            if found is not None and (found ^ key) & MASK64 == 0 and within(long, short, edits):
+                links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+                s, t = top(i), top(j)
+                if s != t:
+                    root[max(s, t)] = min(s, t)
+                    edges.append((a, b, 0))
 
 
 def edit_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
@@ -182,10 +214,13 @@ def edit_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     members = cut(keys.join(broadcast_small(met), "key").select("key", "mark").distinct())
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     texts = long.join(broadcast_small(members.select("mark").distinct()), "mark", "left_semi").groupBy("mark", "h").agg(F.first("line").alias("line"))
+    # Keys of one block share groups of some dozens, so that Python is called once for many; a key of several blocks has groups of its own.
+    bits = max(1, (met.count() // 64).bit_length())
+    slot = F.when(F.col("blocks") == 1, F.shiftrightunsigned("key", 64 - bits)).otherwise(F.col("key"))
     placed = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int")) \
-        .select("key", "mark", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")) \
-        .select("key", "mark", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    return placed.join(texts, "mark").groupBy("key", "low", "high").applyInPandas(lambda f: compare(f, edits), "a string, b string, n long")
+        .select("key", "mark", "block", slot.alias("slot"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")) \
+        .select("key", "mark", "block", "slot", "blocks", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return placed.join(texts, "mark").groupBy("slot", "blocks", "low", "high").applyInPandas(lambda f: compare(f, edits), "a string, b string, n long")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -40,7 +40,7 @@ def test_pairs_within_share_their_first_key(seed, edits, n):
     b = edited(draw, a, draw.randint(0, edits))
     long, short = sorted((a, b), key=lambda x: (len(x), x), reverse=True)
     key = line_join.first_key(long, short, edits)
-    assert (key, True) in set(line_join.entry_keys(short, edits)) and (key, False) in set(line_join.entry_keys(long, edits))
+    assert (key, True) in set(line_join.entry_keys(short, edits)) and key in {k for k, _ in line_join.entry_keys(long, edits)}
 
 
 def brute(rows, edits, min_chars):
