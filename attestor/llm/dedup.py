@@ -39,9 +39,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = members.where(F.col(ROW) == F.col("leader")).select("h", F.col("norm").alias("leader_norm"))
     # The hash join keeps the group's members on the streamed side, so a hot group can be split.
     differing = members.where(F.col(ROW) != F.col("leader")).join(texts, "h").where("norm <> leader_norm")
-    apart = differing.select("h", F.unhex(F.sha2("norm", 256)).alias("sha"), F.lit(True).alias("apart")).distinct()
+    apart = cut(differing.select("h", F.unhex(F.sha2("norm", 256)).alias("sha"), F.lit(True).alias("apart")).distinct())
     classed = keys.join(apart, ["h", "sha"], "left").withColumn("part", F.when(F.col("apart"), F.col("sha")).otherwise(F.lit(b""))).drop("apart")
-    groups = classed.groupBy("h", "part").agg(F.count(F.lit(1)).alias("group_size"), F.min(rank).alias("keep"))
+    # Stored, so that the join below has a plain exchange on both sides and a hot group's rows can be split over tasks.
+    groups = cut(classed.groupBy("h", "part").agg(F.count(F.lit(1)).alias("group_size"), F.min(rank).alias("keep")))
     return classed.join(groups, ["h", "part"]).select(
         ROW, F.col("id").alias(id_col), F.col("keep.id").alias("keep_id"), "group_size", (F.col(ROW) == F.col("keep.row")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"))
