@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -22,8 +23,8 @@ from pyspark.sql.types import StructType
 from attestor.llm.common import read, whole
 
 # Distinct pieces whose ids a worker remembers; the memory is emptied when full, the result does not depend on it.
-REMEMBERED = 700_000
-BATCH_BYTES = 1 << 22
+REMEMBERED = 200_000
+SLICE_BYTES = 1 << 20
 
 
 class ByteBpe:
@@ -46,7 +47,7 @@ class ByteBpe:
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
         self.id_bytes = [i.to_bytes(4, "little") for i in range(len(self.bytes_of))]
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         self.prefixes: dict[int, tuple[int, int] | None] = {}
         self.pieces_known: dict[str, bytes] = {}
 
@@ -102,7 +103,7 @@ class ByteBpe:
 
     def fits(self, left: int, right: int) -> bool:
         """Remembered compatibility of two adjacent tokens."""
-        pair = (left, right)
+        pair = left << 32 | right
         known = self.compatible.get(pair)
         if known is None:
             if len(self.compatible) >= REMEMBERED:
@@ -200,32 +201,36 @@ def default_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def by_text(df: DataFrame, text_col: str, make, fields: str) -> DataFrame:
-    """``df`` with the columns ``fields``, made from a list of whole texts by ``make`` in slices of a few megabytes; no shuffle.
+def slices(batch, at_text: int, most: int = SLICE_BYTES):
+    """Parts of a batch of about ``most`` bytes of text, one row at least, so that Python objects of few texts live at a time."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at_text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
 
-    A column of ``df`` that has a new column's name is an error.
+
+def by_text(df: DataFrame, text_col: str, make, fields: str, most: int = SLICE_BYTES, drop_text: bool = False) -> DataFrame:
+    """``df`` with the columns ``fields``, made from lists of whole texts by ``make``; no shuffle.
+
+    With ``drop_text`` the texts do not travel back. A column of ``df`` that has a new column's name is an error.
     """
     names, added = df.columns, StructType.fromDDL(fields)
     clash = set(added.names) & set(names)
     if clash:
         raise ValueError(f"columns {sorted(clash)} are there already; rename them or drop them first")
-    at_text, all_names = names.index(text_col), [*names, *added.names]
+    at_text = names.index(text_col)
+    kept = [i for i in range(len(names)) if i != at_text or not drop_text]
+    all_names = [*(names[i] for i in kept), *added.names]
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at_text)
-            at = 0
-            while at < batch.num_rows:
-                to, size = at, 0
-                while to < batch.num_rows and (to == at or size < BATCH_BYTES):
-                    size += len(texts[to].as_py() or "")
-                    to += 1
-                part = batch.slice(at, to - at)
+            for part in slices(batch, at_text, most):
                 made = make([t or "" for t in part.column(at_text).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=all_names)
-                at = to
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), *made], names=all_names)
 
-    return df.mapInArrow(run, StructType(df.schema.fields + added.fields))
+    return df.mapInArrow(run, StructType([df.schema.fields[i] for i in kept] + added.fields))
 
 
 def encode_column(docs: DataFrame, text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -239,6 +244,22 @@ def encode_column(docs: DataFrame, text_col: str = "text", path: str | None = No
     return by_text(docs, text_col, make, "token_ids binary, n_tokens long")
 
 
+def coded(docs: DataFrame, text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``docs`` with ``token_ids``, ``n_tokens`` and ``exact`` (decoding gives the text's bytes back) in place of the text.
+
+    Both ways run in one worker, which holds the vocabulary once.
+    """
+    path, pattern = path or default_files()[0], pattern or default_files()[1]
+
+    def make(texts):
+        bpe = encoder(path, pattern)
+        ids = [bpe.encode(t) for t in texts]
+        exact = [bpe.decode(i) == t.encode("utf-8") for i, t in zip(ids, texts)]
+        return [pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(exact)]
+
+    return by_text(docs, text_col, make, "token_ids binary, n_tokens long, exact boolean", drop_text=True)
+
+
 def decode_column(coded: DataFrame, ids_col: str = "token_ids", path: str | None = None) -> DataFrame:
     """``coded`` with ``decoded`` (binary), the bytes of its ids."""
     path, pattern = path or default_files()[0], default_files()[1]
@@ -271,7 +292,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             plain.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
         return [pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())]
 
-    return by_text(rows, "_text", make, "n_tokens long, ids_sha256 string, decoded_sha256 string").drop("_text")
+    return by_text(rows, "_text", make, "n_tokens long, ids_sha256 string, decoded_sha256 string", drop_text=True)
 
 
 def op9_byte_bpe(spark, d):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.byte_bpe import by_text
+from attestor.llm.byte_bpe import by_text, slices
 from attestor.llm.common import cut, read, whole
 
 GRADES = 4
@@ -61,7 +61,7 @@ class Model:
             for word in WORD.findall(text.lower()):
                 names = seen.get(word)
                 if names is None:
-                    if len(seen) >= 500_000:
+                    if len(seen) >= 100_000:
                         seen.clear()
                     names = seen[word] = tuple(f for f in features(word) if f in weights)
                 for name in names:
@@ -120,7 +120,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", m
     def make(texts):
         return [pa.array([list(counts_of(t).items()) for t in texts], pa.map_(pa.string(), pa.int64()))]
 
-    sample = cut(by_text(rows.where(pick), "text", make, "counts map<string,bigint>").select("y", "counts"))
+    sample = cut(by_text(rows.where(pick), "text", make, "counts map<string,bigint>", 1 << 18, drop_text=True).select("y", "counts"))
     per_class = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     none, some = per_class.get(0, 0), per_class.get(1, 0)
     if not none or not some:
@@ -150,7 +150,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", m
     return Model(list(index), *fit_links(at, columns, values, grades, len(index)))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", reject: float = REJECT) -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text", reject: float = REJECT, drop_text: bool = False) -> DataFrame:
     """``docs`` with ``severity`` (expected grade), ``p_toxic`` (``P(grade > 0)``), ``grade`` (most likely) and ``toxic``.
 
     One pass over whole texts without a shuffle; a null or empty text scores like a text without known features.
@@ -165,7 +165,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", reject: float =
         mass = -np.diff(np.c_[np.ones(len(above)), above, np.zeros(len(above))], axis=1)
         return [pa.array(np.round(above.sum(axis=1), 6)), pa.array(np.round(above[:, 0], 6)), pa.array(mass.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0] >= reject)]
 
-    return by_text(docs, text_col, make, "severity double, p_toxic double, grade int, toxic boolean")
+    return by_text(docs, text_col, make, "severity double, p_toxic double, grade int, toxic boolean", drop_text=drop_text)
 
 
 def labelled_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -173,15 +173,23 @@ def labelled_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").join(labels.select("doc_id", F.col("toxic").alias("label")), "doc_id").select("text", F.col("label").alias("toxic"))
 
 
-def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``docs`` that the model does not reject, with their own columns only, whatever their names."""
-    packed = docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("_text"))
-    return score(packed, model, "_text", **options).where("not toxic").select("doc.*")
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", reject: float = REJECT) -> DataFrame:
+    """Rows of ``docs`` that the model does not reject; their columns stay as they are, whatever their names."""
+    at_text = docs.columns.index(text_col)
+
+    def run(batches):
+        link = model.scorer()
+        for batch in batches:
+            for part in slices(batch, at_text):
+                links = np.array([link(t or "") for t in part.column(at_text).to_pylist()])
+                yield part.filter(pa.array(model.above(links)[:, 0] < reject))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_toxicity(spark, d):
     model = fit(labelled_documents(read(spark, d, "documents"), read(spark, d, "labels")))
-    scored = score(read(spark, d, "documents").select("doc_id", F.col("text").alias("_text")), model, "_text").drop("_text")
+    scored = score(read(spark, d, "documents").select("doc_id", F.col("text").alias("_text")), model, "_text", drop_text=True)
     return scored.withColumn("kept", ~F.col("toxic"))
 
 
