@@ -20,6 +20,7 @@ import sys
 import zlib
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ SAMPLE = 256
 END_ID = 2
 # A file is closed at this many ids, so a writer holds a bounded part in memory.
 FILE_TOKENS = 1 << 25
-REMEMBERED = 600_000
+REMEMBERED = 900_000
 
 
 class EliasFano:
@@ -141,7 +142,8 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > REMEMBERED:
-            known.clear()
+            for word in list(islice(known, REMEMBERED // 2)):  # the oldest half goes
+                del known[word]
         split = [self.BLANK.split(t) for t in texts]
         parts = {}
         for word in {w for words in split for w in words if w not in known}:
