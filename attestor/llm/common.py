@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # White space of every text contract: the characters [\x20\x09-\x0D].
@@ -13,6 +13,7 @@ SPACE_RUN = "[ \\t-\\r]+"
 # A side of at most this many narrow rows (an id or a hash each) may be broadcast; it is counted before.
 BROADCAST_ROWS = 1_000_000
 ROW = "_row"
+FILE_ROW_BITS = 40  # of a row's number, for its place in its file
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +64,27 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE_RUN), lambda w: w != "")
 
 
+def scans_files(df: DataFrame) -> bool:
+    """Whether ``df`` is one scan of files with nothing but projections and filters above it, so that each of its rows is one row of a file."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and "HadoopFsRelation" in plan.relation().getClass().getName()
+
+
 def with_row(df: DataFrame) -> DataFrame:
-    """Adds ``_row``, the row's position in its scan: it tells repeated rows apart and is the same in every pass over the same files."""
-    return df.withColumn(ROW, F.monotonically_increasing_id())
+    """Adds ``_row``, which tells repeated rows apart and is the same in every pass, however the scan is split.
+
+    For a scan of files it is made of the number of the file, in order of paths, and the row's place in it. Any other table is stored
+    once with its numbers, since a second run may deal its rows out differently.
+    """
+    if not scans_files(df):
+        return cut(df.withColumn(ROW, F.monotonically_increasing_id()))
+    # The files are counted once and stored; from each, only its path is read.
+    paths = df.select(F.col("_metadata.file_path").alias("_path")).distinct()
+    files = cut(paths.select("_path", (F.row_number().over(Window.orderBy("_path")) - 1).cast("long").alias("_file")))
+    placed = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_index"))
+    return placed.join(F.broadcast(files), "_path").select(*[df[c] for c in df.columns], (F.shiftleft("_file", FILE_ROW_BITS) + F.col("_index")).alias(ROW))
 
 
 def only_rows(tagged: DataFrame, kept: DataFrame) -> DataFrame:
