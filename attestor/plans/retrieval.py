@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.functions import text as tx
-from attestor.operators import evaluation, fusion, search, selection
+from attestor.operators import decision, evaluation, fusion, search, selection
 from attestor.plans.bindings import document_rows, line_chunks, requests, table
 
 SUBJECTS = ("array(named_struct('entity_id', {0}, 'display_name', {0}, 'product_model', cast(null as string), "
@@ -141,10 +141,17 @@ def ranked_budget_fill(spark, d):
     return selection.select_ranked(rows, top_k=8, max_bytes=24000, max_chars=12000).select("request_id", "hit_rank", "chunk_id")
 
 
+def questions_with_facets(asked):
+    """``request_id``, ``query`` and ``facets``: its sentences as parts of the question; more than eight parts are one facet, as in ``decisions``."""
+    parts = decision.split_facets(asked.select("request_id", F.regexp_replace("query", r"\. ", "? ").alias("question")))
+    facets = parts.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("facet_no", "facet"))), lambda x: x["facet"]).alias("facets"))
+    return asked.select("request_id", "query").join(facets, "request_id", "left")
+
+
 def adaptive_selection(spark, d):
     hits = fused_hits(spark, d).select("request_id", "chunk_id", "position")
     chunks = scoped_documents(spark, d)
-    asked = requests(spark, d).select("request_id", "query", F.slice(F.split("query", r"(?<=[.!?])\s+"), 1, 8).alias("facets"))
+    asked = questions_with_facets(requests(spark, d))
     candidates = hits.join(chunks, "chunk_id").withColumn("required_text", F.lit("")).withColumns({
         "bytes": F.octet_length("source_text"), "context_chars": F.length("source_text"),
         "required_parts": F.expr("cast(array() as array<bigint>)")})

@@ -118,3 +118,12 @@ def test_ranked_fill_equals_the_loop_and_never_exceeds_the_budget(spark):
                 taken.append(i)
                 total, chars = total + b, chars + c
         assert got.get(f"q{q}", []) == taken
+
+
+def test_a_question_of_more_than_eight_sentences_is_one_facet(spark):
+    from attestor.plans.retrieval import questions_with_facets
+
+    nine, eight = ("".join(f"Part{i} of it. " for i in range(n)).strip() for n in (9, 8))
+    asked = spark.createDataFrame([("a", nine), ("b", eight), ("c", "One. Two? Three."), ("d", None)], "request_id string, query string")
+    got = {r["request_id"]: r["facets"] for r in questions_with_facets(asked).collect()}
+    assert got == {"a": [nine.replace(". ", "? ")], "b": [f"Part{i} of it?" for i in range(7)] + ["Part7 of it."], "c": ["One?", "Two?", "Three."], "d": None}
