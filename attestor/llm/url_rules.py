@@ -13,11 +13,9 @@ from attestor.llm.common import ROW, broadcast_small, cut, read, with_row
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
 BAD = "label=bad"
-MIN_SUPPORT = 0.004  # of the labelled pages
 MIN_PAGES = 20
 MIN_CONFIDENCE = 0.75
 MIN_LIFT = 2.0
-MAX_RULES = 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -49,12 +47,13 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.coalesce(F.array_distinct(every), F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_pages: int = MIN_PAGES, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, max_rules: int = MAX_RULES) -> DataFrame:
+def mine(labelled: DataFrame, min_pages: int = MIN_PAGES, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
     """Rules ``items -> bad`` from rows with ``items`` and ``bad``: ``rule_id``, ``items``, ``confidence``, ``pages``, ``anchor``.
 
-    FP-growth finds token sets that are frequent together with the bad label. Rules below the confidence, the lift or
-    the number of pages go, and so do rules that a more general rule with at least their confidence makes needless. ``anchor`` is the
-    rule's rarest token, under which it is indexed. ``max_rules`` bounds the rule table (best first), not what is matched.
+    FP-growth finds token sets that are frequent together with the bad label, from ``min_pages`` pages on, however many are labelled.
+    Rules below the confidence, the lift or the number of pages go, and so do rules that a more general rule with at least their
+    confidence makes needless; all rules are held against each other. A token of every page is left out before: it never makes a rule,
+    and a rule with it is needless. ``anchor`` is the rule's rarest token, under which it is indexed.
     """
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], "rule_id long, items array<string>, confidence double, pages long, anchor string")
@@ -62,15 +61,19 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_pages: int =
     total, bad = rows.agg(F.count(F.lit(1)), F.count_if("bad")).first()
     if not bad:
         return empty
-    with_label = rows.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_pages / total), minConfidence=min_confidence).fit(with_label)
-    found = cut(model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).where((F.col("lift") >= min_lift) & (F.round(F.col("support") * total) >= min_pages))
-                .select(F.array_sort("antecedent").alias("items"), "confidence", F.round(F.col("support") * total).cast("long").alias("pages"))
-                .orderBy(F.desc("confidence"), F.desc("pages"), F.size("items"), F.array_join("items", " ")).limit(max_rules))
+    counts = cut(rows.select(F.explode(F.array_distinct("items")).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("freq")))
+    constant = [r["item"] for r in counts.where(F.col("freq") == total).select("item").collect()]  # tokens of one url at most
+    telling = F.array_except("items", F.array(*[F.lit(x) for x in constant]).cast("array<string>"))
+    with_label = rows.select(F.when(F.col("bad"), F.array_append(telling, F.lit(BAD))).otherwise(telling).alias("items"))
+    # Half a page less, so that rounding cannot raise the least count.
+    model = FPGrowth(itemsCol="items", minSupport=max(min_pages - 0.5, 0) / total).fit(with_label)
+    sets = cut(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"))
+    joint = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1) & (F.col("freq") >= min_pages)).select(F.array_remove("items", BAD).alias("items"), F.col("freq").alias("pages"))
+    found = cut(joint.join(sets, "items").withColumn("confidence", F.col("pages") / F.col("freq"))
+                .where((F.col("confidence") >= min_confidence) & (F.col("confidence") / (bad / total) >= min_lift)).select("items", "confidence", "pages"))
     subsets = found.select(F.explode("items").alias("dropped"), "*").select("items", "confidence", F.array_remove("items", F.col("dropped")).alias("general"))
     needless = subsets.join(found.select(F.col("items").alias("general"), F.col("confidence").alias("c")), "general").where("c >= confidence").select("items").distinct()
     kept = found.join(needless, "items", "left_anti")
-    counts = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("item"), "freq")
     rarest = kept.select("items", F.explode("items").alias("item")).join(counts, "item").groupBy("items").agg(F.min(F.struct("freq", "item")).alias("least"))
     return cut(kept.join(rarest, "items").select(F.xxhash64("items").alias("rule_id"), "items", "confidence", "pages", F.col("least.item").alias("anchor")))
 

@@ -65,3 +65,14 @@ def test_query_over_the_table(spark):
     for r in pages:
         host, path, rule, verdict = plain(r.url)
         assert (got[r.page_id].host, got[r.page_id].path, got[r.page_id].rule) == (host, path, rule) and got[r.page_id].verdict == (verdict or got[r.page_id].verdict)
+
+
+def test_many_redundant_rules_and_many_pages_leave_general_and_rare_rules(spark):
+    hosts = [([f"t{h}.{k}" for k in range(12)] + ["scheme=https"], True) for h in range(30) for _ in range(25)]
+    general = [(["path=general", f"path={i}", "scheme=https"], i % 5 > 0) for i in range(50)]
+    rare = [(["path=rare", f"path=r{i}", "scheme=https"], True) for i in range(20)]
+    good = [(["path=good", f"path=g{i}", "scheme=https"], False) for i in range(5180)]
+    items = spark.createDataFrame(hosts + general + rare + good, "items array<string>, bad boolean")
+    got = {tuple(r["items"]): (round(r.confidence, 9), r.pages) for r in url_rules.mine(items).collect()}
+    want = {(f"t{h}.{k}",): (1.0, 25) for h in range(30) for k in range(12)} | {("path=general",): (0.8, 40), ("path=rare",): (1.0, 20)}
+    assert got == want
