@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -72,22 +73,45 @@ def scans_files(df: DataFrame) -> bool:
     return plan.nodeName() == "LogicalRelation" and "HadoopFsRelation" in plan.relation().getClass().getName()
 
 
+def named(df: DataFrame, name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """``name``, with more underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def with_row(df: DataFrame) -> DataFrame:
     """Adds ``_row``, which tells repeated rows apart and is the same in every pass, however the scan is split.
 
     For a scan of files it is made of the number of the file, in order of paths, and the row's place in it. Any other table is stored
-    once with its numbers, since a second run may deal its rows out differently.
+    once with its numbers, since a second run may deal its rows out differently. A column of the table that is itself called
+    ``_row`` (``__row``, ...) gets one more underscore until ``without_row`` gives its name back; every other name may occur.
     """
+    df = df.select(*[named(df, c).alias("_" + c if re.fullmatch(f"_*{ROW}", c.lower()) else c) for c in df.columns])
     if not scans_files(df):
         return cut(df.withColumn(ROW, F.monotonically_increasing_id()))
     # The files are counted once and stored; from each, only its path is read.
-    paths = df.select(F.col("_metadata.file_path").alias("_path")).distinct()
-    files = cut(paths.select("_path", (F.row_number().over(Window.orderBy("_path")) - 1).cast("long").alias("_file")))
-    placed = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_index"))
-    return placed.join(F.broadcast(files), "_path").select(*[df[c] for c in df.columns], (F.shiftleft("_file", FILE_ROW_BITS) + F.col("_index")).alias(ROW))
+    path, index, file = (free_name(c, df) for c in ("_path", "_index", "_file"))
+    hidden = df.metadataColumn("_metadata")
+    paths = df.select(hidden["file_path"].alias(path)).distinct()
+    files = cut(paths.select(path, (F.row_number().over(Window.orderBy(path)) - 1).cast("long").alias(file)))
+    placed = df.select("*", hidden["file_path"].alias(path), hidden["row_index"].alias(index))
+    joined = placed.join(F.broadcast(files), path)
+    return joined.select(*[named(joined, c) for c in df.columns], (F.shiftleft(file, FILE_ROW_BITS) + F.col(index)).alias(ROW))
+
+
+def without_row(tagged: DataFrame) -> DataFrame:
+    """``tagged`` without the tag, its own columns under their own names again."""
+    own = [c for c in tagged.columns if c != ROW]
+    return tagged.select(*[named(tagged, c).alias(c[1:] if re.fullmatch(f"_+{ROW}", c.lower()) else c) for c in own])
 
 
 def only_rows(tagged: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of ``tagged`` whose ``_row`` is in ``kept``, without the tag."""
-    return tagged.join(broadcast_small(cut(kept.select(ROW))), ROW, "left_semi").drop(ROW)
-
+    return without_row(tagged.join(broadcast_small(cut(kept.select(ROW))), ROW, "left_semi"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestor.llm.common import ROW, broadcast_small, cut, read, whole, with_row
+from attestor.llm.common import ROW, broadcast_small, cut, read, whole, with_row, without_row
 
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
@@ -84,7 +84,7 @@ def sample_rows(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs``, each as often as the mix takes it, with their own columns."""
     tagged = with_row(docs)
     copies = cut(mix(tagged, **options).where("copies > 0").select(ROW, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy"))
-    return tagged.join(broadcast_small(copies), ROW).drop(ROW)
+    return without_row(tagged.join(broadcast_small(copies), ROW))
 
 
 def op10_source_mix(spark, d):

@@ -184,7 +184,8 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", reject: fl
                 links = np.array([link(t or "") for t in part.column(at_text).to_pylist()])
                 yield part.filter(pa.array(model.above(links)[:, 0] < reject))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op1_toxicity(spark, d):

@@ -5,7 +5,7 @@ import numpy as np
 
 import corpus_pipeline
 from attestor.llm import byte_bpe, toxicity
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_near_copies import components_of
 
 
 def test_stages_against_brute_force(spark, tmp_path):
@@ -27,9 +27,8 @@ def test_stages_against_brute_force(spark, tmp_path):
         groups[re.sub(r"[\x20\x09-\x0D]", "", r.text or "")].append((-len(r.text or ""), r.doc_id))
     assert sorted(r.doc_id for r in rows[2]) == sorted(min(g)[1] for g in groups.values())
 
-    fps = {r.doc_id: (lambda v: v - 2**64 if v >= 2**63 else v)(plain_fingerprint(r.text)) for r in rows[2]}
-    best = [min(i for i, v in fps.items() if v in group) for group in plain_components(set(fps.values()), 4)]
-    assert sorted(r.doc_id for r in rows[3]) == sorted(best)
+    same = components_of([(r.doc_id, r.text or "") for r in rows[2]])  # five-word shingles, similarity 0.8
+    assert sorted(r.doc_id for r in rows[3]) == sorted(set(same.values())) and len(rows[3]) < len(rows[2])
 
     before, after = (Counter(r.doc_id for r in rows[k]) for k in (3, 4))
     assert set(after) <= set(before) and max(after.values()) <= 2
