@@ -9,7 +9,9 @@ from pyspark.sql import types as T
 
 from attestor.functions import text as tx
 from attestor.functions.digests import row_digest
+from attestor.operators import graphs
 from attestor.operators.scope import scope_compatible, trusted_link
+from attestor.sources.stored import cut
 
 # The reference phrase pattern and the words that give a section a structural role.
 REFERENCE = (
@@ -34,8 +36,8 @@ def structural_role(title: Column) -> Column:
 def validate_links(chunks: DataFrame) -> DataFrame:
     """Violations ``version_id, chunk_id, code`` of the link graph.
 
-    Cycles: a chunk without outgoing links cannot be on one, so links to such chunks are stripped first with
-    anti-joins; what is left of a version (at most 10000 facts by contract) is walked in one group.
+    Cycles: links into chunks without links, or out of chunks that nothing links to, are stripped until none is left (``graphs``),
+    in rounds over all versions at once.
     """
     ids = chunks.groupBy("chunk_id").agg(F.count("*").alias("n"), F.min("version_id").alias("version_id"))
     repeated = ids.where("n > 1").select("version_id", "chunk_id", F.lit("duplicate_chunk_id").alias("code"))
@@ -52,35 +54,27 @@ def validate_links(chunks: DataFrame) -> DataFrame:
     code = (F.when(F.col("t.target_id").isNull(), "context_target_missing").when(other, "context_scope_mismatch")
             .when(proof_bad, "invalid_context_provenance"))
     bad = pairs.select(F.col("s.version_id").alias("version_id"), F.col("s.chunk_id").alias("chunk_id"), code.alias("code")).where("code is not null")
-    edges = links.where("target_id <> chunk_id").select("version_id", F.col("chunk_id").alias("a"), F.col("target_id").alias("b")).distinct()
-    for _ in range(2):
-        edges = edges.join(edges.select("version_id", F.col("a").alias("b")).distinct(), ["version_id", "b"], "left_semi").select("version_id", "a", "b")
-    id_type = chunks.schema["chunk_id"].dataType.simpleString()
-    version_type = chunks.schema["version_id"].dataType.simpleString()
-    cyclic = edges.groupBy("version_id").applyInPandas(_on_cycle, f"version_id {version_type}, chunk_id {id_type}").withColumn(
-        "code", F.lit("context_reference_cycle"))
+    edges = links.select(_node("version_id", "chunk_id").alias("a"), _node("version_id", "target_id").alias("b"))
+    cyclic = _named(graphs.between_cycles(edges), chunks).select("version_id", "chunk_id", F.lit("context_reference_cycle").alias("code"))
     return repeated.unionByName(own).unionByName(again).unionByName(bad).unionByName(cyclic).distinct()
 
 
-def _on_cycle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Chunks of one version that stay after repeatedly removing edges into chunks without outgoing edges."""
-    while True:
-        kept = pdf[pdf["b"].isin(set(pdf["a"])) & pdf["a"].isin(set(pdf["b"]))]
-        if len(kept) == len(pdf):
-            break
-        pdf = kept
-    return pdf[["version_id", "a"]].rename(columns={"a": "chunk_id"}).drop_duplicates()
+def _node(version: str, chunk: str) -> Column:
+    """A chunk of a version as one name that groups in Python can hold."""
+    return F.to_json(F.struct(F.col(version).alias("v"), F.col(chunk).alias("c")))
+
+
+def _named(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``version_id, chunk_id`` of ``nodes(node, ...)`` again."""
+    kinds = {c: chunks.schema[c].dataType.simpleString() for c in ("version_id", "chunk_id")}
+    parts = nodes.withColumn("_n", F.from_json("node", f"v {kinds['version_id']}, c {kinds['chunk_id']}"))
+    return parts.select("*", F.col("_n.v").alias("version_id"), F.col("_n.c").alias("chunk_id")).drop("_n", "node")
 
 
 def _closing(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of one version whose target already leads back to their source; ``pdf`` has only links into chunks with links of their own."""
-    while True:
-        kept = pdf[pdf["b"].isin(set(pdf["a"])) & pdf["a"].isin(set(pdf["b"]))]
-        if len(kept) == len(pdf):
-            break
-        pdf = kept
+    """Links of one strong component whose target already leads back to their source, taking links in order."""
     if len(pdf) > MAX_FACTS * MAX_LINKS:
-        raise ValueError(f"version {pdf['version_id'].iloc[0]} has more than {MAX_FACTS} facts with {MAX_LINKS} links")
+        raise ValueError(f"more than {MAX_FACTS} facts with {MAX_LINKS} links refer to each other")
     ahead: dict = {}
     found = []
     for row in pdf.sort_values(["place", "link_no"]).itertuples():
@@ -141,13 +135,14 @@ def bind_references(chunks: DataFrame, section_of: DataFrame) -> tuple[DataFrame
     numbered = first.withColumn("link_no", F.row_number().over(order))
     limit = numbered.where(F.col("link_no") > MAX_LINKS).select("version_id", "chunk_id", F.lit("dependency_limit_exceeded").alias("code"))
     links = numbered.where(F.col("link_no") <= MAX_LINKS).select("version_id", "chunk_id", "target_id", "link_no", "m.role", "m.reference_text")
-    # a reference that closes a loop of any length is an issue, not a link; links are taken in chunk order
+    # A reference that closes a loop of any length is an issue, not a link; links are taken in chunk order. Only links inside a strong component can.
     places = section_of.groupBy("version_id", "chunk_id").agg(F.min("ordinal").alias("place"))
-    edges = links.select("version_id", F.col("chunk_id").alias("a"), F.col("target_id").alias("b"), "link_no")
-    for _ in range(2):
-        edges = edges.join(edges.select("version_id", F.col("a").alias("b")).distinct(), ["version_id", "b"], "left_semi").select("version_id", "a", "b", "link_no")
+    strong = graphs.strong_components(links.select(_node("version_id", "chunk_id").alias("a"), _node("version_id", "target_id").alias("b")))
+    strong = cut(_named(strong, chunks).select("version_id", F.col("chunk_id").alias("id"), "strong"))
+    inside = links.select("version_id", F.col("chunk_id").alias("a"), F.col("target_id").alias("b"), "link_no") \
+        .join(strong.withColumnRenamed("id", "a"), ["version_id", "a"]).join(strong.withColumnRenamed("id", "b"), ["version_id", "b", "strong"])
     types = links.schema
-    loops = edges.join(places.withColumnRenamed("chunk_id", "a"), ["version_id", "a"]).groupBy("version_id").applyInPandas(
+    loops = inside.join(places.withColumnRenamed("chunk_id", "a"), ["version_id", "a"]).select("version_id", "a", "b", "link_no", "place", "strong").groupBy("strong").applyInPandas(
         _closing, T.StructType([types[c] for c in ("version_id", "chunk_id", "target_id")]))
     cycle = loops.select("version_id", "chunk_id", F.lit("dependency_cycle").alias("code"))
     links = links.join(loops, ["version_id", "chunk_id", "target_id"], "left_anti")

@@ -1,23 +1,21 @@
 """Lexical and vector search for a whole table of requests at once.
 
-The index is partitioned by chunk, like the shards of a search cluster: a partition
-scores its own chunks against all query terms and only its best ``k`` per request
-travel. A frequent term is spread over all partitions, so no term is a hot key.
+Lexical search reads stored postings (``postings``), vectors are compared in blocks (``ann``); only the best ``k`` per request and
+block travel.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions import text as tx
 from attestor.functions.vectors import usable
-from attestor.session import BROADCAST_ROWS, broadcast_bounded, fits_broadcast
+from attestor.operators import ann, postings
+from attestor.session import broadcast_bounded, fits_broadcast
 
-# BM25 constants and the identifier route of the reference.
-K1, B = 1.2, 0.75
+# The identifier route and field boosts.
 EXACT_PATTERN = r"^(?:[A-Za-z][A-Za-z0-9_.:/+-]*\d[A-Za-z0-9_.:/+-]*|[A-Z][A-Z0-9_./:-]{2,})$"
 FIELD_BOOSTS = {"source_text": 3.0, "title": 1.0, "scope": 1.5, "table_labels": 1.0, "document_name": 0.25}
 
@@ -39,37 +37,6 @@ def route(requests: DataFrame, pattern: str = EXACT_PATTERN) -> DataFrame:
     )
 
 
-def term_index(chunks: DataFrame, fields: dict[str, Column] | None = None, rule: str = "corpus",
-               partitions: int | None = None) -> DataFrame:
-    """Forward index ``chunk_id, kb_id, field, dl, terms`` partitioned by ``chunk_id``.
-
-    Term counts are built inside the row, before the single shuffle here: no text moves, and
-    everything that later groups by chunk reuses that partitioning.
-    """
-    fields = fields or {"text": F.col("search_text")}
-    texts = chunks.select("chunk_id", "kb_id", *[column.alias(f"_{name}") for name, column in fields.items()])
-    entries = F.array(*[F.struct(F.lit(name).alias("field"), tx.tokens(F.col(f"_{name}"), rule).alias("words")) for name in fields])
-    placed = texts.select("chunk_id", "kb_id", F.explode(entries).alias("e")).select("chunk_id", "kb_id", "e.*")
-    index = placed.select(
-        "chunk_id", "kb_id", "field", F.size("words").cast("long").alias("dl"),
-        tx.term_counts(F.col("words")).alias("terms"),
-    )
-    return index.repartition(partitions, "chunk_id") if partitions else index.repartition("chunk_id")
-
-
-def _scopes(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    scoped = requests.withColumn("scope_id", F.xxhash64(F.array_sort("kb_ids")))
-    kbs = scoped.select("scope_id", F.explode("kb_ids").alias("kb_id")).distinct()
-    return scoped, kbs
-
-
-def _visible(index: DataFrame, requests: DataFrame, filters: Column | None) -> tuple[DataFrame, DataFrame]:
-    scoped, kbs = _scopes(requests)
-    kbs = broadcast_bounded(kbs, requests.select(F.explode("kb_ids")))
-    visible = index.join(kbs, "kb_id")
-    return scoped, (visible if filters is None else visible.where(filters))
-
-
 def top_k(scored: DataFrame, k: int, score: str = "score", id_col: str = "chunk_id",
           digits: int = RANK_DIGITS) -> DataFrame:
     """Rank by score descending, id ascending. Spark keeps only ``k`` rows per task before the shuffle."""
@@ -77,75 +44,29 @@ def top_k(scored: DataFrame, k: int, score: str = "score", id_col: str = "chunk_
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25_scores(requests: DataFrame, index: DataFrame, rule: str = "corpus", filters: Column | None = None) -> DataFrame:
-    """BM25 per request, chunk and field; N, df and average length over the rows the request may see."""
-    scoped, visible = _visible(index, requests, filters)
-    asked = scoped.select("request_id", "scope_id", F.explode(F.array_distinct(tx.tokens(F.col("query"), rule))).alias("term"))
-    wanted = broadcast_bounded(asked.select("scope_id", "term").distinct(), asked)
-    stats = visible.groupBy("scope_id", "field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = visible.select("scope_id", "field", "chunk_id", "dl", F.inline("terms"))
-    df = postings.join(wanted, ["scope_id", "term"]).groupBy("scope_id", "field", "term").agg(F.count("*").alias("df"))
-    weights = (
-        asked.join(df, ["scope_id", "term"]).join(stats, ["scope_id", "field"])
-        .select("request_id", "scope_id", "field", "term",
-                F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
-                F.greatest(F.lit(1.0), "avgdl").alias("avgdl"))
-    )
-    weights = broadcast_bounded(weights, asked)
-    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (
-        F.col("tf") + K1 * ((1 - B) + B * F.col("dl") / F.col("avgdl"))
-    )
-    return (
-        postings.join(weights, ["scope_id", "field", "term"])
-        .groupBy("chunk_id", "request_id", "field").agg(F.sum(gain).alias("score"))
-    )
-
-
-def bm25(requests: DataFrame, index: DataFrame, k: int = 50, rule: str = "corpus",
-         filters: Column | None = None) -> DataFrame:
-    """``requests(request_id, query, kb_ids)`` against an index of one field."""
-    scores = bm25_scores(requests, index, rule, filters).drop("field")
-    return top_k(scores, k).select("request_id", "chunk_id", "rank", "score")
+def bm25(requests: DataFrame, index: postings.PostingIndex, k: int = 50) -> DataFrame:
+    """``requests(request_id, query, kb_ids)`` against a stored index of one field; N, df and average length over the request's bases."""
+    return postings.ranked(requests, index, k)
 
 
-def bm25_fields(requests: DataFrame, index: DataFrame, boosts: dict[str, float] | None = None, k: int = 50,
-                rule: str = "corpus", filters: Column | None = None) -> DataFrame:
+def bm25_fields(requests: DataFrame, index: postings.PostingIndex, boosts: dict[str, float] | None = None, k: int = 50) -> DataFrame:
     """the best boosted field gives the score."""
-    boosts = boosts or FIELD_BOOSTS
-    boost = F.coalesce(F.create_map(*[F.lit(x) for pair in boosts.items() for x in pair])[F.col("field")], F.lit(1.0))
-    best = (
-        bm25_scores(requests, index, rule, filters)
-        .groupBy("chunk_id", "request_id").agg(F.max(F.col("score") * boost).alias("score"))
-    )
-    return top_k(best, k).select("request_id", "chunk_id", "rank", "score")
+    return postings.ranked(requests, index, k, boosts=boosts or FIELD_BOOSTS)
 
 
-def keyword_logtf(requests: DataFrame, index: DataFrame, k: int = 50, rule: str = "dev",
-                  filters: Column | None = None) -> DataFrame:
-    """sum of (1 + ln tf) times the term's count in the query; no idf."""
-    scoped, visible = _visible(index, requests, filters)
-    asked = (
-        scoped.select("request_id", "scope_id", F.inline(tx.term_counts(tx.tokens(F.col("query"), rule))))
-        .withColumnRenamed("tf", "weight")
-    )
-    asked = broadcast_bounded(asked, asked)
-    scores = (
-        visible.select("scope_id", "chunk_id", F.inline("terms")).join(asked, ["scope_id", "term"])
-        .groupBy("chunk_id", "request_id").agg(F.sum((1 + F.log("tf")) * F.col("weight")).alias("score"))
-    )
-    return top_k(scores, k).select("request_id", "chunk_id", "rank", "score")
+def keyword_logtf(requests: DataFrame, index: postings.PostingIndex, k: int = 50) -> DataFrame:
+    """sum of (1 + ln tf) times the term's count in the query; no idf. The index has the token rule of this score (``dev``)."""
+    return postings.ranked(requests, index, k, kind="logtf")
 
 
-def exact_search(requests: DataFrame, chunks: DataFrame, k: int = 50) -> DataFrame:
+def exact_search(requests: DataFrame, chunks: DataFrame, index: postings.PostingIndex, k: int = 50) -> DataFrame:
     """phrase or exact identifier search.
 
-    ``chunks(chunk_id, kb_id, search_text, identifiers, models, versions)``. A query that
-    is one identifier matches identifier terms only. Other queries match an exact model or
-    version (score 5), or the phrase: chunks are first joined on the query's longest
-    word, then the phrase is checked on those rows only.
+    ``chunks(chunk_id, kb_id, identifiers, models, versions)``. A query that is one identifier matches identifier terms
+    only. Other queries match an exact model or version (score 5), or the phrase, token behind token in a field of ``index`` (score 1).
     """
-    scoped, kbs = _scopes(requests)  # bases are checked by scope after the term join, so no request is repeated per base
-    asked = scoped.select("request_id", "scope_id", F.trim("query").alias("query")).withColumn("lowered", F.lower("query"))
+    scoped, kbs = postings.scopes(requests)  # bases are checked by scope after the term join, so no request is repeated per base
+    asked = scoped.select("request_id", "scope_id", F.trim("query").alias("query"), "kb_ids").withColumn("lowered", F.lower("query"))
     own = tx.identifier_terms(F.col("query"))
     asked = asked.withColumn("single", (F.size(own) == 1) & (F.get(own, F.lit(0)) == tx.fold(F.col("query"))))
     bases = broadcast_bounded(kbs, requests.select(F.explode("kb_ids")))
@@ -156,8 +77,7 @@ def exact_search(requests: DataFrame, chunks: DataFrame, k: int = 50) -> DataFra
 
     by_identifier = by_term(F.col("identifiers"), asked.where("single").select("request_id", "scope_id", F.col("lowered").alias("term")), 1.0)
     by_field = by_term(F.array_distinct(F.concat("models", "versions")), asked.where("not single").select("request_id", "scope_id", F.col("query").alias("term")), 5.0)
-    phrases = asked.where("not single").join(kbs, "scope_id").select("request_id", "kb_id", "query")
-    by_phrase = phrase_hits(phrases, chunks, requests.select(F.explode("kb_ids"))).select("request_id", "chunk_id", F.lit(1.0).alias("score"))
+    by_phrase = postings.phrases(asked.where("not single").select("request_id", "query", "kb_ids"), index).withColumn("score", F.lit(1.0))
     hits = (
         by_identifier.unionByName(by_field).unionByName(by_phrase)
         .groupBy("request_id", "chunk_id").agg(F.sum("score").alias("score"))
@@ -165,29 +85,8 @@ def exact_search(requests: DataFrame, chunks: DataFrame, k: int = 50) -> DataFra
     return top_k(hits, k).select("request_id", "chunk_id", "rank", "score")
 
 
-def phrase_hits(asked: DataFrame, chunks: DataFrame, bound: DataFrame) -> DataFrame:
-    """Rows ``request_id, chunk_id`` where the query occurs in the text, letter case aside.
-
-    ``asked(request_id, kb_id, query)``. Chunk and query meet on the query's longest word; only then is the
-    phrase compared, so no query is tried on every chunk.
-    """
-    words = tx.tokens(F.col("query"), "selection")
-    longest = F.get(F.array_sort(words, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a))
-                                 .when(a < b, -1).when(a > b, 1).otherwise(0)), F.lit(0))
-    anchors = asked.select("request_id", "kb_id", F.lower("query").alias("lowered"), longest.alias("anchor"))
-    found = F.array_distinct(tx.tokens(F.col("search_text"), "selection"))
-    body = chunks.select("chunk_id", "kb_id", "search_text", found.alias("words"))
-    if fits_broadcast(bound):
-        # only words that some query asks for leave the row, so a text is copied once per anchor it holds, not once per word
-        wanted = anchors.groupBy("kb_id").agg(F.collect_set("anchor").alias("wanted"))
-        body = body.join(F.broadcast(wanted), "kb_id").withColumn("words", F.array_intersect("words", "wanted"))
-    hits = body.select("chunk_id", "kb_id", "search_text", F.explode("words").alias("anchor")).join(broadcast_bounded(anchors, bound), ["kb_id", "anchor"])
-    return hits.where(F.contains(F.lower("search_text"), F.col("lowered"))).select("request_id", "chunk_id").distinct()
-
-
 # --- vectors -------------------------------------------------------------------------
 
-KNN_SCHEMA = "request_id string, vec_id long, score double"
 KNN_BATCH_REQUESTS = 4096
 
 
@@ -199,70 +98,50 @@ def check_vectors(df: DataFrame, column: str, dimension: int) -> DataFrame:
     )
 
 
-def _unit(rows) -> np.ndarray:
-    matrix = np.asarray([np.asarray(r, dtype=np.float64) for r in rows])
-    return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+def knn(requests: DataFrame, vectors: DataFrame | None, k: int = 20, dimension: int | None = None, method: str = "exact",
+        index: ann.CentroidIndex | None = None) -> DataFrame:
+    """F8: cosine top-k. ``requests(request_id, vector)``, ``vectors(vec_id, vector)``.
 
-
-def _best(ids, scores, k, request_ids):
-    """Best ``k`` per request of one block of scores, by rounded score and id."""
-    rounded = np.round(scores, RANK_DIGITS)
-    keep = min(k, scores.shape[1])
-    out = []
-    for row, request in enumerate(request_ids):
-        order = np.lexsort((ids, -rounded[row]))[:keep]  # not-a-number (another knowledge base) sorts last
-        order = order[~np.isnan(rounded[row][order])]
-        out.append(pd.DataFrame({"request_id": request, "vec_id": ids[order], "score": scores[row][order]}))
-    return pd.concat(out) if out else pd.DataFrame({"request_id": [], "vec_id": [], "score": []})
-
-
-def knn(requests: DataFrame, vectors: DataFrame, k: int = 20, dimension: int | None = None,
-        buckets: int = 64) -> DataFrame:
-    """F8: exact cosine top-k. ``requests(request_id, vector)``, ``vectors(vec_id, vector)``.
-
-    Up to ``KNN_BATCH_REQUESTS`` requests travel to the vectors: each Arrow batch is one
-    matrix product and yields at most ``k`` rows per request, so vectors never move.
-    More requests are laid out in blocks against vector buckets, still yielding only ``k``
-    rows per request and bucket. Both ways are exact. With a ``kb_id`` column on both sides only vectors of the
+    ``method="exact"``: up to ``KNN_BATCH_REQUESTS`` requests travel to the vectors: each Arrow batch is one
+    matrix product and yields at most ``k`` rows per request, so vectors never move. More requests are compared in blocks
+    of bounded size. ``method="centroids"``: only the lists of ``index`` that a request probes are compared; scores are exact,
+    neighbours in other lists are missed (``index.probes`` sets how many). With a ``kb_id`` column on both sides only vectors of the
     request's knowledge base count.
     """
-    scoped = "kb_id" in requests.columns and "kb_id" in vectors.columns
+    if method not in ("exact", "centroids"):
+        raise ValueError(f"unknown_method {method}")
+    scoped = "kb_id" in requests.columns and (vectors is None or "kb_id" in vectors.columns)
     if not scoped:
-        requests, vectors = requests.withColumn("kb_id", F.lit("")), vectors.withColumn("kb_id", F.lit(""))
+        requests = requests.withColumn("kb_id", F.lit(""))
     if dimension is not None:
-        requests, vectors = check_vectors(requests, "vector", dimension), check_vectors(vectors, "vector", dimension)
+        requests = check_vectors(requests, "vector", dimension)
     asked = requests.select(F.col("request_id").cast("string").alias("request_id"), "vector", F.col("kb_id").cast("string"))
+    if method == "centroids":
+        asked = asked.withColumn("vector", F.col("vector").cast("array<double>"))
+        return top_k(index.candidates(asked, k), k, id_col="vec_id").select("request_id", "vec_id", "rank", "score")
+    if not scoped:
+        vectors = vectors.withColumn("kb_id", F.lit(""))
+    if dimension is not None:
+        vectors = check_vectors(vectors, "vector", dimension)
     vectors = vectors.select(F.col("vec_id").cast("long"), "vector", F.col("kb_id").cast("string"))
     if fits_broadcast(asked, KNN_BATCH_REQUESTS):
         rows = asked.orderBy("request_id").collect()  # bounded by the check above
         request_ids = [r["request_id"] for r in rows]
         if not rows:
             return vectors.sparkSession.createDataFrame([], "request_id string, vec_id long, rank int, score double")
-        handle = vectors.sparkSession.sparkContext.broadcast((_unit([r["vector"] for r in rows]), np.asarray([r["kb_id"] for r in rows])))
+        handle = vectors.sparkSession.sparkContext.broadcast((ann.unit([r["vector"] for r in rows]), np.asarray([r["kb_id"] for r in rows])))
 
         def score(batches):
             unit_requests, kbs = handle.value
             for batch in batches:
                 if len(batch):
-                    similarity = np.clip(unit_requests @ _unit(batch["vector"]).T, -1.0, 1.0)
+                    similarity = np.clip(unit_requests @ ann.unit(batch["vector"]).T, -1.0, 1.0)
                     similarity[kbs[:, None] != batch["kb_id"].to_numpy()[None, :]] = np.nan
-                    yield _best(batch["vec_id"].to_numpy(), similarity, k, request_ids)
+                    yield ann.best(batch["vec_id"].to_numpy(), similarity, k, request_ids)
 
-        local = vectors.mapInPandas(score, KNN_SCHEMA)
+        local = vectors.mapInPandas(score, ann.SCORED)
     else:
-        def score_pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if left.empty or right.empty:
-                return pd.DataFrame({"request_id": [], "vec_id": [], "score": []})
-            similarity = np.clip(_unit(left["vector"]) @ _unit(right["vector"]).T, -1.0, 1.0)
-            similarity[left["kb_id"].to_numpy()[:, None] != right["kb_id"].to_numpy()[None, :]] = np.nan
-            return _best(right["vec_id"].to_numpy(), similarity, k, list(left["request_id"]))
-
-        blocks = F.sequence(F.lit(0), F.lit(buckets - 1))
-        side_requests = asked.withColumn("a", F.pmod(F.xxhash64("request_id"), F.lit(buckets)).cast("int")).withColumn("b", F.explode(blocks))
-        side_vectors = vectors.withColumn(
-            "b", F.pmod(F.xxhash64("vec_id"), F.lit(buckets)).cast("int")).withColumn("a", F.explode(blocks))
-        local = side_requests.groupBy("a", "b").cogroup(side_vectors.groupBy("a", "b")).applyInPandas(
-            lambda l, r: score_pair(l, r), KNN_SCHEMA)
+        local = ann.in_blocks(asked, vectors, k, ["kb_id"])
     return top_k(local, k, id_col="vec_id").select("request_id", "vec_id", "rank", "score")
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.functions import text as tx
-from attestor.operators import decision, evaluation, fusion, search, selection
+from attestor.operators import ann, decision, evaluation, fusion, postings, search, selection
 from attestor.plans.bindings import document_rows, line_chunks, requests, table
+from attestor.sources.stored import stored
 
 SUBJECTS = ("array(named_struct('entity_id', {0}, 'display_name', {0}, 'product_model', cast(null as string), "
             "'software_version', cast(null as string), 'source_kind', 'curated'))")
@@ -16,29 +17,32 @@ LINK = ("struct<chunk_id:bigint,role:string,required:boolean,provenance:struct<k
         "target_unit_id:string,provenance_id:string,reference_text:string>>")
 
 
-def stored_index(chunks, fields=None, rule="corpus") -> DataFrame:
-    """The index a deployment would keep as a table; here it is kept for the session, since scoring reads it three times."""
-    return search.term_index(chunks, fields, rule).persist()
+def index_of(spark, d, kind="documents") -> postings.PostingIndex:
+    """A stored index of the documents or their lines; built once for a state of the table."""
+    title = F.get(F.split("source_text", "\n"), F.lit(0))
+    labels = F.array_join(F.filter(F.split("source_text", "\n"), lambda x: F.contains(x, F.lit("|"))), " ")
+    fields = {"source_text": F.col("source_text"), "title": title, "scope": F.col("lang"), "table_labels": labels, "document_name": F.col("kb_id")}
+    chunks = line_chunks if kind == "lines" else document_rows
+    path = stored(spark, kind, [f"{d}/documents.parquet"], lambda path: postings.build_index(
+        chunks(spark, d), path, fields if kind == "fields" else None, "dev" if kind == "dev" else "corpus"))
+    return postings.open_index(spark, path)
 
 
 def keyword_ranking(spark, d, k=50) -> DataFrame:
-    return search.bm25(requests(spark, d), stored_index(document_rows(spark, d)), k)
+    return search.bm25(requests(spark, d), index_of(spark, d), k)
 
 
 def second_ranking(spark, d, k=50) -> DataFrame:
-    return search.keyword_logtf(requests(spark, d), stored_index(document_rows(spark, d), rule="dev"), k)
+    return search.keyword_logtf(requests(spark, d), index_of(spark, d, "dev"), k)
 
 
 def bm25_topk(spark, d):
-    hits = search.bm25(requests(spark, d), stored_index(line_chunks(spark, d)), 50)
+    hits = search.bm25(requests(spark, d), index_of(spark, d, "lines"), 50)
     return hits.select("request_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
 
 
 def bm25_fields_topk(spark, d):
-    chunks = document_rows(spark, d)
-    title = F.get(F.split("source_text", "\n"), F.lit(0))
-    index = stored_index(chunks, {"source_text": F.col("source_text"), "title": title, "document_name": F.col("kb_id")})
-    hits = search.bm25_fields(requests(spark, d), index, k=20)
+    hits = search.bm25_fields(requests(spark, d), index_of(spark, d, "fields"), k=20)
     return hits.select("request_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
 
 
@@ -57,9 +61,9 @@ def identifier_requests(spark, d):
 
 def exact_identifier_search(spark, d):
     chunks = document_rows(spark, d).select(
-        "chunk_id", "kb_id", "search_text", tx.identifier_terms(F.col("source_text")).alias("identifiers"),
+        "chunk_id", "kb_id", tx.identifier_terms(F.col("source_text")).alias("identifiers"),
         F.expr(NO_STRINGS).alias("models"), F.expr(NO_STRINGS).alias("versions"))
-    hits = search.exact_search(identifier_requests(spark, d), chunks, 50)
+    hits = search.exact_search(identifier_requests(spark, d), chunks, index_of(spark, d), 50)
     return hits.select("request_id", "chunk_id", "rank", "score")
 
 
@@ -78,6 +82,19 @@ def knn_cosine_topk(spark, d):
     return rows.select(F.col("request_id").cast("int").alias("request_id"), F.col("chunk_id").alias("vec_id"), "rank", F.round("score", 4).alias("score"))
 
 
+def knn_recall(spark, d):
+    """Vectors whose id is divisible by 20 ask a centroid index of all vectors, keyed by label: neighbours that the exact search finds, whether nine in ten are reached, and hits without an exact score."""
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("kb_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    path = stored(spark, "centroids", [f"{d}/embeddings.parquet"], lambda path: ann.build_centroid_index(vectors, path, target=0.99))
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("request_id"), "kb_id", "vector")
+    exact = search.knn(asked, vectors, 20, dimension=64).select("request_id", "vec_id", F.round("score", 6).alias("wanted"))
+    found = search.knn(asked, None, 20, dimension=64, method="centroids", index=ann.load_centroid_index(spark, path)).select("request_id", "vec_id", F.round("score", 6).alias("score"))
+    both = exact.join(found, ["request_id", "vec_id"], "full").join(asked.select(F.col("request_id").cast("string").alias("request_id"), "kb_id"), "request_id")
+    return both.groupBy("kb_id").agg(
+        F.count_distinct("request_id").alias("requests"), F.count("wanted").alias("neighbours"), (F.count_if(F.col("score").isNotNull() & F.col("wanted").isNotNull()) >= 0.9 * F.count("wanted")).alias("reached"),
+        F.count_if(F.col("score") != F.col("wanted")).alias("wrong"))
+
+
 def rrf_hybrid(spark, d):
     """Flagship: BM25 and log-TF rankings of the documents, fused; best eight per question."""
     both = keyword_ranking(spark, d).select("request_id", "chunk_id", "rank").unionByName(
@@ -87,10 +104,8 @@ def rrf_hybrid(spark, d):
 
 
 def gold_documents(spark, d):
-    """Documents that contain a benchmark text."""
-    asked = requests(spark, d)
-    return search.phrase_hits(asked.select("request_id", F.explode("kb_ids").alias("kb_id"), "query"),
-                              document_rows(spark, d), asked.select(F.explode("kb_ids")))
+    """Documents that contain a benchmark text as a phrase."""
+    return postings.phrases(requests(spark, d), index_of(spark, d))
 
 
 def three_rankings(spark, d):
@@ -174,7 +189,7 @@ def linked_lines(spark, d):
 
 
 def line_hits(spark, d, k=8):
-    return search.bm25(requests(spark, d), stored_index(line_chunks(spark, d)), k).select("request_id", "chunk_id")
+    return search.bm25(requests(spark, d), index_of(spark, d, "lines"), k).select("request_id", "chunk_id")
 
 
 def required_context(spark, d):
@@ -273,6 +288,7 @@ QUERIES = {
     "exact_identifier_search": exact_identifier_search,
     "query_route": query_route,
     "knn_cosine_topk": knn_cosine_topk,
+    "knn_recall": knn_recall,
     "rrf_hybrid": rrf_hybrid,
     "weighted_fusion": weighted_fusion,
     "literal_coverage": literal_coverage,

@@ -58,9 +58,16 @@ def logtf(name="lt", k=50):
 {name} AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM {name}_s QUALIFY rank <= {k})"""
 
 
-GOLD = """
+def token_line(x):
+    """The tokens of a text, each between blanks, so that a phrase of tokens is a part of it."""
+    return f"' ' || array_to_string({words(x)}, ' ') || ' '"
+
+
+GOLD = f"""
+gold_d AS MATERIALIZED (SELECT doc_id, {token_line('text')} AS line FROM documents),
+gold_b AS MATERIALIZED (SELECT item_id, {token_line('text')} AS line FROM benchmark),
 gold AS (SELECT item_id AS request_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank
-         FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)))"""
+         FROM gold_b b JOIN gold_d d ON length(b.line) > 2 AND contains(d.line, b.line))"""
 
 FUSED = """
 lists AS (

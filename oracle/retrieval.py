@@ -1,6 +1,6 @@
 """SQL twins of the retrieval queries."""
 
-from oracle.common import DOCS, HYBRID, LINES, SELECTION, bm25, fold, logtf, word_set, words
+from oracle.common import DOCS, HYBRID, LINES, SELECTION, bm25, fold, logtf, token_line, word_set, words
 
 IDENTIFIERS = f"list_filter({word_set('source_text')}, lambda w: regexp_matches(w, '[0-9]') AND regexp_matches(w, '[a-z]'))"
 IDENTIFIER_REQUESTS = f"""
@@ -44,13 +44,17 @@ ORACLES = {
     "bm25_fields_topk": f"""WITH {DOCS},
 fields AS (SELECT chunk_id, 'source_text' AS field, source_text AS body, 3.0 AS boost FROM chunks
   UNION ALL SELECT chunk_id, 'title', string_split(source_text, chr(10))[1], 1.0 FROM chunks
+  UNION ALL SELECT chunk_id, 'scope', lang, 1.5 FROM chunks
+  UNION ALL SELECT chunk_id, 'table_labels', array_to_string(list_filter(string_split(source_text, chr(10)), lambda x: contains(x, '|')), ' '), 1.0 FROM chunks
   UNION ALL SELECT chunk_id, 'document_name', kb_id, 0.25 FROM chunks),
 {bm25(k=20, fields='fields')} SELECT request_id, chunk_id, rank, round(score, 4) AS score FROM bm""",
     "keyword_logtf_topk": f"WITH {DOCS},{logtf()} SELECT request_id, chunk_id, rank, round(score, 4) AS score FROM lt",
     "exact_identifier_search": f"""WITH {DOCS},{IDENTIFIER_REQUESTS},
+body AS MATERIALIZED (SELECT chunk_id, {token_line('source_text')} AS line FROM chunks),
+wanted AS MATERIALIZED (SELECT request_id, {token_line('phrase')} AS line FROM asked WHERE phrase IS NOT NULL),
 found AS (
   SELECT term AS request_id, chunk_id FROM (SELECT chunk_id, unnest({IDENTIFIERS}) AS term FROM chunks)
-  UNION ALL SELECT request_id, chunk_id FROM asked JOIN chunks ON phrase IS NOT NULL AND contains(lower(source_text), phrase))
+  UNION ALL SELECT request_id, chunk_id FROM wanted w JOIN body b ON length(w.line) > 2 AND contains(b.line, w.line))
 SELECT request_id, chunk_id, row_number() OVER (PARTITION BY request_id ORDER BY chunk_id) AS rank, 1.0::DOUBLE AS score FROM found QUALIFY rank <= 50""",
     "query_route": f"""WITH {DOCS},{IDENTIFIER_REQUESTS},
 r AS (SELECT coalesce(phrase, request_id) AS q, (SELECT trim(text) FROM benchmark b WHERE 'item-' || b.item_id = a.request_id) AS original FROM asked a),
@@ -63,6 +67,8 @@ c AS (SELECT label, list(x ORDER BY i) AS v FROM (
 s AS (SELECT c.label AS request_id, e.vec_id, list_cosine_similarity(c.v, e.v) AS score FROM c, e)
 SELECT request_id, vec_id, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 6) DESC, vec_id) AS rank, round(score, 4) AS score
 FROM s QUALIFY rank <= 20""",
+    "knn_recall": """WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
+SELECT label::VARCHAR AS kb_id, count(*) AS requests, sum(least(n, 20))::BIGINT AS neighbours, true AS reached, 0::BIGINT AS wrong FROM embeddings JOIN n USING (label) WHERE vec_id % 20 = 0 GROUP BY 1""",
     "rrf_hybrid": f"""WITH {DOCS},{bm25()},{logtf()},
 f AS (SELECT request_id, chunk_id, sum(1.0 / (60 + rank)) AS score FROM (
   SELECT request_id, chunk_id, rank FROM bm UNION ALL SELECT request_id, chunk_id, rank FROM lt) GROUP BY ALL)

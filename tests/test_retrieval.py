@@ -5,15 +5,15 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from attestor.operators import fusion, search, selection
+from attestor.operators import fusion, postings, search, selection
 
 
-def test_bm25_equals_brute_force_inside_the_visible_bases(spark):
+def test_bm25_equals_brute_force_inside_the_visible_bases(spark, tmp_path):
     rng = random.Random(5)
     words = ["red", "blue", "hub", "bulb", "zig-bee", "a1"]
     docs = [(i, "ab"[i % 2], " ".join(rng.choice(words) for _ in range(rng.randint(1, 12)))) for i in range(40)]
     asked = [("q1", "red hub", ["a"]), ("q2", "zig-bee a1 red red", ["a", "b"])]
-    index = search.term_index(spark.createDataFrame(docs, "chunk_id int, kb_id string, search_text string"))
+    index = postings.build_index(spark.createDataFrame(docs, "chunk_id int, kb_id string, search_text string"), str(tmp_path / "index"))
     got = {}
     for r in search.bm25(spark.createDataFrame(asked, "request_id string, query string, kb_ids array<string>"), index, 5).collect():
         got.setdefault(r["request_id"], {})[r["rank"]] = (r["chunk_id"], round(r["score"], 6))
@@ -44,7 +44,7 @@ def test_knn_small_and_large_way_agree_with_numpy(spark, monkeypatch):
     want = {str(i): list(np.lexsort((np.arange(60), -np.round(unit[i] @ unit.T, 6)))[:5]) for i in range(7)}
     for limit in (4096, 0):
         monkeypatch.setattr(search, "KNN_BATCH_REQUESTS", limit)
-        rows = search.knn(asked, table, 5, 4, buckets=3).orderBy("request_id", "rank").collect()
+        rows = search.knn(asked, table, 5, 4).orderBy("request_id", "rank").collect()
         got = {}
         for r in rows:
             got.setdefault(r["request_id"], []).append(r["vec_id"])
