@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from attestor.functions import text as tx
 from attestor.operators import associations, decision, entities, evaluation, fusion, search
 from attestor.plans.bindings import document_rows, requests, table
-from attestor.plans.retrieval import NO_STRINGS, SUBJECTS, fused_hits, gold_documents, keyword_ranking, second_ranking
+from attestor.plans.retrieval import NO_STRINGS, SUBJECTS, fused_hits, gold_documents, guided_documents, index_of, keyword_ranking, second_ranking
 from attestor.plans.structuring import part_sentences
 
 REQUIRED = "array<struct<chunk_id:bigint,role:string,text:string>>"
@@ -137,20 +137,20 @@ def decision_integrity(spark, d):
 # --- associations ------------------------------------------------------------------------
 
 
-def _vector_documents(spark, d):
-    return table(spark, d, "documents").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id", "left").select(
-        F.col("doc_id").alias("chunk_id"), F.col("source").alias("kb_id"), F.col("doc_id").alias("document_id"), F.lit(None).cast("string").alias("family"), F.lit(None).cast("string").alias("model"),
-        F.col("text").alias("source_text"), "vector")
-
-
 def discover_links(spark, d):
-    """Each document with a vector and its nearest documents of the same source; cosine floor zero for this data."""
-    chunks = _vector_documents(spark, d)
-    vectors = chunks.where("vector is not null").select(F.col("chunk_id").alias("vec_id"), "vector", "kb_id")
-    near = search.knn(vectors.select(F.col("vec_id").alias("request_id"), "vector", "kb_id"), vectors, 20)
-    pairs = associations.link_candidates(near.select(F.col("request_id").cast("long").alias("source"), F.col("vec_id").alias("target"), "rank"))
-    nothing = chunks.select("chunk_id", F.lit(None).cast("string").alias("entity_id")).where("false")
-    links = associations.discover_links(chunks, pairs, nothing, nothing, {"semantic_floor": 0.0})
+    """Every document asks with its whole text and, where it has one, its vector for its 20 nearest of the same source; guides are the entities. Cosine floor zero for this data."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    none = F.lit(None).cast("string")
+    chunks = guided_documents(spark, d).join(vectors, "chunk_id", "left").withColumns({"family": none, "model": none})
+    asked = chunks.select(F.col("chunk_id").alias("request_id"), F.col("source_text").alias("query"), F.array("kb_id").alias("kb_ids"))
+    lexical = search.bm25(asked, index_of(spark, d, "guided"), 20).select(F.col("request_id").alias("source"), F.col("chunk_id").alias("target"), "rank")
+    placed = chunks.where("vector is not null").select(F.col("chunk_id").alias("vec_id"), "vector", "kb_id")
+    near = search.knn(placed.select(F.col("vec_id").alias("request_id"), "vector", "kb_id"), placed, 20)
+    pairs = associations.link_candidates(lexical.unionByName(near.select(F.col("request_id").cast("long").alias("source"), F.col("vec_id").alias("target"), "rank")))
+    guides = table(spark, d, "documents").select("lang").distinct().select(
+        F.col("lang").alias("entity_id"), F.concat("lang", F.lit("-guide")).alias("name"), F.lit("product").alias("kind"), none.alias("product_model"))
+    found = entities.mentions(chunks, entities.catalog(guides, guides.select("entity_id", none.alias("alias")).where("false")))
+    links = associations.discover_links(chunks, pairs, found.select("chunk_id", "entity_id").distinct(), associations.referenced_entities(chunks, found), {"semantic_floor": 0.0})
     return links.select("source", "target", "kind", F.round("score", 4).alias("score"))
 
 

@@ -17,12 +17,20 @@ LINK = ("struct<chunk_id:bigint,role:string,required:boolean,provenance:struct<k
         "target_unit_id:string,provenance_id:string,reference_text:string>>")
 
 
+def guided_documents(spark, d) -> DataFrame:
+    """Documents that begin with the name of their language's guide; every seventh refers to it."""
+    guide = F.concat("lang", F.lit("-guide"))
+    text = F.concat(F.when(F.col("doc_id") % 7 == 0, F.lit("See ")).otherwise(F.lit("")), guide, F.lit(". "), F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("kb_id"), F.col("doc_id").alias("document_id"), "lang",
+                                              text.alias("source_text"), text.alias("search_text"))
+
+
 def index_of(spark, d, kind="documents") -> postings.PostingIndex:
     """A stored index of the documents or their lines; built once for a state of the table."""
     title = F.get(F.split("source_text", "\n"), F.lit(0))
     labels = F.array_join(F.filter(F.split("source_text", "\n"), lambda x: F.contains(x, F.lit("|"))), " ")
     fields = {"source_text": F.col("source_text"), "title": title, "scope": F.col("lang"), "table_labels": labels, "document_name": F.col("kb_id")}
-    chunks = line_chunks if kind == "lines" else document_rows
+    chunks = {"lines": line_chunks, "guided": guided_documents}.get(kind, document_rows)
     path = stored(spark, kind, [f"{d}/documents.parquet"], lambda path: postings.build_index(
         chunks(spark, d), path, fields if kind == "fields" else None, "dev" if kind == "dev" else "corpus"))
     return postings.open_index(spark, path)

