@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestor.session import broadcast_bounded
+from attestor.sources.stored import cut
+
 WILSON_Z = 1.959963984540054  # fixed value: 97.5 % point of the normal distribution
 
 
@@ -139,6 +142,22 @@ def percentiles(df: DataFrame, column: str, keys: list[str], fractions=(0.5, 0.9
     return one.select("g.*", *out)
 
 
+def running_totals(df: DataFrame, keys: list[str], order: Column, values: list[str]) -> DataFrame:
+    """``df`` with each of ``values`` replaced by its sum over the key's rows up to this one in ``order``.
+
+    Rows are ranged by key and order, so a key's rows lie in neighbouring parts; sums inside a part add to the totals of the parts before it.
+    Only those totals, one row per key and part, are put in order in one place.
+    """
+    placed = df.repartitionByRange(*[F.col(k) for k in keys], order).withColumn("_part", F.spark_partition_id())
+    placed = cut(placed)  # the parts stay as they are in both readings
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*keys, "_part").agg(*[F.sum(v).alias(v) for v in values])
+    ahead = totals.select(*keys, "_part", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_{v}") for v in values])
+    inside = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = placed.select(*[c for c in placed.columns if c not in values], *[F.sum(v).over(inside).alias(v) for v in values])
+    return rows.join(broadcast_bounded(ahead, totals), [*keys, "_part"]).select(*[c for c in df.columns if c not in values], *[(F.col(v) + F.col(f"_{v}")).alias(v) for v in values])
+
+
 def paired_bootstrap(baseline: DataFrame, comparison: DataFrame, metric: str, iterations: int = 1000, seed: int = 17) -> DataFrame:
     """Mean paired difference with a 95 % interval from resampled families, in one row.
 
@@ -147,8 +166,8 @@ def paired_bootstrap(baseline: DataFrame, comparison: DataFrame, metric: str, it
     """
     pairs = baseline.select("query_id", "family", F.col(metric).cast("double").alias("a")).join(
         comparison.select("query_id", F.col(metric).cast("double").alias("b")), "query_id").where("a is not null and b is not null")
-    families = pairs.groupBy("family").agg(F.sum(F.col("b") - F.col("a")).alias("total"), F.count("*").alias("n")).persist()
-    numbered = families.withColumn("slot", F.row_number().over(Window.orderBy("family")) - 1)
+    families = cut(pairs.groupBy("family").agg(F.sum(F.col("b") - F.col("a")).alias("total"), F.count("*").alias("n")))
+    numbered = running_totals(families.select("family", "total", "n", F.lit(1).alias("slot"), F.lit(0).alias("all")), ["all"], F.col("family"), ["slot"]).withColumn("slot", F.col("slot") - 1)
     size = families.agg(F.count("*").alias("families"), F.sum("total").alias("sum"), F.sum("n").alias("n"))
     draws = (
         numbered.select("slot").join(F.broadcast(size.select("families")), F.lit(True))  # one row
@@ -234,29 +253,31 @@ def run_summary(records: DataFrame) -> DataFrame:
         return records.groupBy(column).agg(F.count("*").alias("n")).agg(
             F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(column).cast("string"), "n")))).alias(column))
 
-    nearest = [F.expr(f"percentile_disc({f}) within group (order by latency_ms)").alias(f"p{int(f * 100)}_ms") for f in (0.5, 0.95, 0.99)]
     one = records.agg(
-        F.count("*").alias("requests"), *nearest, F.avg("recall").alias("recall_macro"), F.avg("reciprocal_rank").alias("mrr"),
+        F.count("*").alias("requests"), F.avg("recall").alias("recall_macro"), F.avg("reciprocal_rank").alias("mrr"),
         F.avg(F.col("complete").cast("double")).alias("complete_evidence_rate"), F.avg("precision_returned").alias("precision_returned"),
         F.avg(F.col("no_answer_false_positive").cast("double")).alias("no_answer_false_positive_rate"),
         F.avg(F.col("answerable_empty").cast("double")).alias("answerable_empty_rate"), F.avg("returned").alias("mean_returned"),
         F.avg("hits_bytes").alias("mean_hits_bytes"), F.sum("forbidden_count").alias("forbidden_evidence_count"),
         F.count("expected_status_matches").alias("expected_status_checked"), F.count_if("expected_status_matches").alias("expected_status_matched"))
+    places = percentiles(records.withColumn("run", F.lit(0)), "latency_ms", ["run"])
+    nearest = places.select(*[F.col(f"nearest{p}").cast(records.schema["latency_ms"].dataType).alias(f"p{p}_ms") for p in (50, 95, 99)])
+    one = one.join(F.broadcast(nearest), F.lit(True), "left")  # one row
     return one.join(counts("status"), F.lit(True)).join(counts("outcome"), F.lit(True))
 
 
 def fit_thresholds(scores: DataFrame, target_fpr: float = 0.05, min_samples: int = 5, min_families: int = 2) -> DataFrame:
     """Per channel the threshold with the best recall, then the lowest false-positive rate, then the highest value.
 
-    Scores are first counted per value, so the running sums go over distinct scores, not over samples.
+    Scores are first counted per value; the running sums over distinct scores are taken in two levels (``running_totals``), so no task sees a channel's scores.
     Channels with too few labels or no usable threshold give no row.
     """
     rows = scores.where("split = 'calibration'")
     totals = rows.groupBy("channel").agg(F.count_if("relevant").alias("positives"), F.count_if(~F.col("relevant")).alias("negatives"),
                                          F.count_distinct("family").alias("families"))
     by_score = rows.groupBy("channel", "score").agg(F.count_if("relevant").alias("p"), F.count_if(~F.col("relevant")).alias("n"))
-    above = Window.partitionBy("channel").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    running = by_score.select("channel", "score", F.sum("p").over(above).alias("tp"), F.sum("n").over(above).alias("fp")).join(totals, "channel")
+    above = running_totals(by_score, ["channel"], F.col("score").desc(), ["p", "n"])
+    running = above.select("channel", "score", F.col("p").alias("tp"), F.col("n").alias("fp")).join(totals, "channel")
     enough = (F.col("positives") >= min_samples) & (F.col("negatives") >= min_samples) & (F.col("families") >= min_families)
     running = running.where(enough).withColumn("recall", F.col("tp") / F.col("positives")).withColumn("false_positive_rate", F.col("fp") / F.col("negatives"))
     best = running.where((F.col("false_positive_rate") <= target_fpr) & (F.col("recall") > 0)).groupBy("channel", "positives", "negatives", "families").agg(

@@ -170,28 +170,33 @@ def dependency_edges(links: DataFrame, units: DataFrame) -> DataFrame:
 def required_closure(edges: DataFrame, max_depth: int = CLOSURE_DEPTH, max_nodes: int = CLOSURE_NODES) -> DataFrame:
     """Required nodes within ``max_depth`` steps: ``doc_id, main, node_keys, issue``.
 
-    Header and footnote edges point from the dependency to the dependent and are turned round first. Each step
-    is one join on the edge table; nodes already seen leave before the next step, so a step carries at most
-    ``max_nodes + 1`` rows per main node. A cycle, a longer path or more nodes is reported.
+    Header and footnote edges point from the dependency to the dependent and are turned round first. A node's state is one
+    row: the nodes seen and those of the last step, each with a way there. Every step is one join on the edge table, where a node counts
+    with its ``max_nodes + 1`` smallest targets, and keeps as many new nodes at most; what has more than ``max_nodes`` is not followed
+    further. A cycle, a longer path or more nodes is reported; with more targets than the limit it may be reported as the limit.
     """
+    fan = max_nodes + 1
     turned = F.col("type").isin("header_for", "footnote_for")
     direct = edges.where("required").select("doc_id", F.when(turned, F.col("target_key")).otherwise(F.col("source_key")).alias("main"),
                                             F.when(turned, F.col("source_key")).otherwise(F.col("target_key")).alias("node")).distinct()
+    smallest = Window.partitionBy("doc_id", "main").orderBy("node")
+    direct = direct.withColumn("place", F.row_number().over(smallest)).where(F.col("place") <= fan).drop("place")
     step = direct.select("doc_id", F.col("main").alias("last"), F.col("node").alias("next"))
-    frontier = direct.select("doc_id", "main", F.col("node").alias("last"), F.array("main").alias("path"))
-    reached = frontier.select("doc_id", "main", F.col("last").alias("node"), F.lit(1).alias("depth"), F.array_contains("path", F.col("last")).alias("cycle"))
+    state = direct.groupBy("doc_id", "main").agg(F.bool_or(F.col("main") == F.col("node")).alias("cycle"), F.collect_list(F.struct("node", F.array("main", "node").alias("path"))).alias("front"))
+    state = state.withColumn("front", F.filter(F.sort_array("front"), lambda x: x["node"] != F.col("main"))) \
+        .withColumn("seen", F.transform("front", lambda x: x["node"])).withColumn("deep", F.lit(False))
     for depth in range(2, max_depth + 2):
-        grown = frontier.where(~F.array_contains("path", F.col("last"))).join(step, ["doc_id", "last"]).select(
-            "doc_id", "main", F.col("next").alias("last"), F.concat("path", F.array("last")).alias("path"))
-        frontier = grown.dropDuplicates(["doc_id", "main", "last"])
-        reached = reached.unionByName(frontier.select("doc_id", "main", F.col("last").alias("node"), F.lit(depth).alias("depth"),
-                                                      F.array_contains("path", F.col("last")).alias("cycle")))
-    first = reached.groupBy("doc_id", "main", "node").agg(F.min(F.when(~F.col("cycle"), F.col("depth"))).alias("depth"), F.bool_or("cycle").alias("cycle"))
-    kept = F.array_sort(F.collect_list(F.when(F.col("depth") <= max_depth, F.col("node"))))
-    rows = first.groupBy("doc_id", "main").agg(
-        kept.alias("node_keys"), F.bool_or("cycle").alias("cycle"), F.coalesce(F.bool_or(F.col("depth") > max_depth), F.lit(False)).alias("deep"))
-    issue = F.when(F.col("cycle"), "dependency_cycle").when(F.col("deep") | (F.size("node_keys") > max_nodes), "dependency_closure_limit")
-    return rows.select("doc_id", "main", F.slice("node_keys", 1, max_nodes).alias("node_keys"), issue.alias("issue"))
+        grown = state.where(F.size("seen") <= max_nodes).select("doc_id", "main", F.explode("front").alias("f")).withColumn("last", F.col("f.node")).join(step, ["doc_id", "last"])
+        ways = grown.groupBy("doc_id", "main", "next").agg(F.min(F.when(~F.array_contains("f.path", F.col("next")), F.concat("f.path", F.array("next")))).alias("path"), F.bool_or(F.array_contains("f.path", F.col("next"))).alias("back"))
+        found = ways.groupBy("doc_id", "main").agg(F.bool_or("back").alias("back"), F.sort_array(F.collect_list(F.when(F.col("path").isNotNull(), F.struct(F.col("next").alias("node"), "path")))).alias("found"))
+        fresh = F.slice(F.filter("found", lambda x: ~F.array_contains("seen", x["node"])), 1, fan)
+        state = state.join(found, ["doc_id", "main"], "left").withColumn("front", F.coalesce(fresh, F.slice("front", 1, 0))).withColumn("cycle", F.col("cycle") | F.coalesce("back", F.lit(False))).drop("found", "back")
+        if depth <= max_depth:
+            state = state.withColumn("seen", F.concat("seen", F.transform("front", lambda x: x["node"])))
+        else:
+            state = state.withColumn("deep", F.size("front") > 0)
+    issue = F.when(F.col("cycle"), "dependency_cycle").when(F.col("deep") | (F.size("seen") > max_nodes), "dependency_closure_limit")
+    return state.select("doc_id", "main", F.slice(F.array_sort("seen"), 1, max_nodes).alias("node_keys"), issue.alias("issue"))
 
 
 def graph_digest(nodes: DataFrame, edges: DataFrame, key: str = "doc_id", units: DataFrame | None = None, scopes: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from attestor.operators import decision, fusion, links, review, selection, structure, tree
+from attestor.operators import decision, evaluation, fusion, links, review, selection, structure, tree
 from attestor.streaming import jobs
 
 AT = datetime.datetime(2024, 1, 1)
@@ -75,3 +75,29 @@ def test_cover_takes_new_facets_first_then_rank(spark):
     matches = spark.createDataFrame(rows, "request_id string, facet_id string, chunk_id int, hit_rank int, way string")
     got = decision.select_cover(support, matches).orderBy("group_no").collect()
     assert [(r.chunk_id, r.group_no, r.facet_ids) for r in got] == [(20, 1, ["f2", "f3"]), (10, 2, ["f1"])]
+
+
+def closure_of(spark, pairs):
+    edges = spark.createDataFrame([(1, a, b, "governed_by", True) for a, b in pairs], "doc_id int, source_key string, target_key string, type string, required boolean")
+    return {r.main: (list(r.node_keys), r.issue) for r in tree.required_closure(edges).collect()}
+
+
+def test_a_hub_keeps_as_many_targets_as_the_limit_needs(spark):
+    hub = [("hub", f"n{i:05}") for i in range(20_000)] + [("before", "hub"), ("first", "before")]
+    got = closure_of(spark, hub)
+    assert got["hub"] == ([f"n{i:05}" for i in range(16)], "dependency_closure_limit")
+    assert got["before"][1] == got["first"][1] == "dependency_closure_limit" and all(len(nodes) == 16 for nodes, _ in got.values())
+
+
+def test_closures_of_small_graphs(spark):
+    got = closure_of(spark, [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", "f"), ("x", "x"), ("y", "z"), ("z", "y")])
+    assert got["a"] == (["b", "c", "d", "e"], "dependency_closure_limit")  # f is four steps away
+    assert got["b"] == (["d", "e", "f"], None) and got["e"] == (["f"], None)
+    assert got["x"] == ([], "dependency_cycle") and got["y"] == (["z"], "dependency_cycle")
+
+
+def test_running_totals_in_parts(spark):
+    rows = [(k, i % 50, i) for k in "ab" for i in range(300)]
+    frame = spark.createDataFrame(rows, "k string, score int, id int").groupBy("k", "score").agg(F.count("*").alias("n"), F.sum("id").alias("s"))
+    got = {(r.k, r.score): (r.n, r.s) for r in evaluation.running_totals(frame, ["k"], F.col("score").desc(), ["n", "s"]).collect()}
+    assert got == {(k, v): (sum(s >= v for _, s, _ in rows) // 2, sum(i for kk, s, i in rows if kk == k and s >= v)) for k in "ab" for v in range(50)}
