@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,15 +72,28 @@ def header_edges(cells: DataFrame, keys: list[str]) -> DataFrame:
 def list_items(block_rows: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, item_no, indent, parent_no``: the parent is the nearest earlier item with a smaller indent.
 
-    Items of one block are an array inside its row, so the search stays in the row.
+    Only the indents of a block's items leave the row, and each is looked at once.
     """
     # marks at the line start; tabs count as four columns
     marks = F.regexp_extract_all("text", F.lit(LIST_MARK), F.lit(1))
     indents = F.transform(marks, lambda m: F.length(F.replace(m, F.lit("\t"), F.lit("    "))))
-    rows = block_rows.where(block_kind(F.col("text")) == "list").withColumn("indents", indents)
-    nearest = lambda own, i: F.array_max(F.filter(F.transform("indents", lambda x, j: F.when((j < i) & (x < own), j)), lambda v: v.isNotNull()))
-    return rows.select(*keys, F.posexplode(F.transform("indents", lambda x, i: F.struct(x.alias("indent"), nearest(x, i).alias("parent_no")))).alias("item_no", "s")).select(
-        *keys, "item_no", "s.indent", "s.parent_no")
+    rows = block_rows.where(block_kind(F.col("text")) == "list").select(*keys, indents.alias("indents")).withColumn("parents", F.pandas_udf(_nearest_smaller, "array<int>")("indents"))
+    return rows.select(*keys, F.posexplode(F.arrays_zip("indents", "parents")).alias("item_no", "s")).select(
+        *keys, "item_no", F.col("s.indents").alias("indent"), F.col("s.parents").alias("parent_no"))
+
+
+def _nearest_smaller(lists: pd.Series) -> pd.Series:
+    """Per list of numbers, the place of the nearest smaller one to the left of each: a stack of the places that can still be one."""
+    def places(values):
+        out, stack = [], []
+        for i, value in enumerate(values):
+            while stack and values[stack[-1]] >= value:
+                stack.pop()
+            out.append(stack[-1] if stack else None)
+            stack.append(i)
+        return out
+
+    return lists.map(places)
 
 
 def footnote_links(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -41,7 +41,7 @@ def header_edges(spark, d):
 def list_nesting(spark, d):
     """Lines of a document as list items indented by their length class; each item's parent is the nearest shallower one."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    items = F.transform(lines, lambda x: F.concat(F.repeat(F.lit("  "), F.least(F.lit(3), F.floor(F.length(x) / 100).cast("int"))), F.lit("- item")))
+    items = F.transform(lines, lambda x: F.concat(F.repeat(F.lit("  "), F.least(F.lit(3), F.floor(F.length(x) / 100).cast("int"))), F.lit("- "), x))
     rows = table(spark, d, "documents").select("doc_id", F.array_join(items, "\n").alias("text"))
     return tree.list_items(rows, ["doc_id"])
 

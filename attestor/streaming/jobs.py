@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from attestor.sources.stored import cut
+
 # Retry and lease rules.
 MAX_BACKOFF_SECONDS, MAX_ATTEMPTS = 60, 3
 
@@ -37,8 +39,12 @@ def publication_state(events: DataFrame) -> DataFrame:
         "document_id", F.col("last.kind").alias("kind"), F.when(F.col("last.kind") != "delete", F.col("last.version_id")).alias("active_version_id"), "seq")
 
 
-def _versioned(spark: SparkSession, path: str, epoch: int, schema: str) -> DataFrame:
-    """State table written by the last finished epoch before ``epoch``; rerunning an epoch starts from the same state."""
+PUBLICATION_SCHEMA = "document_id string, kind string, active_version_id string, seq long"
+PUBLICATION_BUCKETS = 256
+
+
+def _finished(spark: SparkSession, path: str, before: int | None = None) -> int:
+    """Last epoch (before ``before``) whose table below ``path`` was written to its end; -1 if there is none."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     root = hadoop.Path(path)
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -46,23 +52,46 @@ def _versioned(spark: SparkSession, path: str, epoch: int, schema: str) -> DataF
     if files.exists(root):
         for status in files.listStatus(root):
             name = status.getPath().getName()
-            if name.startswith("epoch=") and int(name[6:]) < epoch and files.exists(hadoop.Path(status.getPath(), "_SUCCESS")):
+            if name.startswith("epoch=") and files.exists(hadoop.Path(status.getPath(), "_SUCCESS")):
                 done.append(int(name[6:]))
-    return spark.read.parquet(f"{path}/epoch={max(done)}") if done else spark.createDataFrame([], schema)
+    return max([e for e in done if before is None or e < before], default=-1)
 
 
-PUBLICATION_SCHEMA = "document_id string, kind string, active_version_id string, seq long"
+def _bucket_epochs(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """Per bucket, the epoch that holds its state: the last finished manifest, at most one row a bucket."""
+    last = _finished(spark, f"{path}/manifest", before)
+    return {} if last < 0 else {r["bucket"]: r["epoch"] for r in spark.read.parquet(f"{path}/manifest/epoch={last}").collect()}
+
 
+def read_publications(spark: SparkSession, path: str, buckets: dict[int, int] | None = None) -> DataFrame:
+    """The state that the last finished micro-batch left; with ``buckets`` (bucket to epoch) only theirs."""
+    held = _bucket_epochs(spark, path) if buckets is None else buckets
+    folders = [f"{path}/data/epoch={epoch}/bucket={bucket}" for bucket, epoch in sorted(held.items())]
+    return spark.read.schema(PUBLICATION_SCHEMA).parquet(*folders) if folders else spark.createDataFrame([], PUBLICATION_SCHEMA)
 
-def stream_publications(events: DataFrame, state_path: str, checkpoint: str):
-    """K2 as a stream: state and new events are merged by sequence number into a new table per micro-batch."""
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        old = _versioned(spark, state_path, epoch, PUBLICATION_SCHEMA).select("document_id", "seq", "kind", F.col("active_version_id").alias("version_id"))
-        merged = publication_state(old.unionByName(batch.select("document_id", "seq", "kind", "version_id")))
-        merged.write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
 
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def merge_publications(batch: DataFrame, epoch: int, path: str, buckets: int = PUBLICATION_BUCKETS) -> None:
+    """Merges a micro-batch into the state at ``path``: only buckets with an event are read and written again.
+
+    The buckets' new files are written first and named by the epoch's manifest last. Until the manifest is there, readers see the old
+    state, and an epoch that runs again starts from the same state and writes the same files.
+    """
+    spark = batch.sparkSession
+    bucket = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
+    events = cut(batch.select("document_id", "seq", "kind", "version_id"))
+    touched = [r["bucket"] for r in events.select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets``
+    held = _bucket_epochs(spark, path, epoch)
+    old = read_publications(spark, path, {b: held[b] for b in touched if b in held})
+    merged = publication_state(old.select("document_id", "seq", "kind", F.col("active_version_id").alias("version_id")).unionByName(events))
+    if touched:
+        merged.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/epoch={epoch}")
+    rows = sorted((held | dict.fromkeys(touched, epoch)).items())
+    spark.createDataFrame(rows, "bucket int, epoch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/epoch={epoch}")
+
+
+def stream_publications(events: DataFrame, state_path: str, checkpoint: str, buckets: int = PUBLICATION_BUCKETS):
+    """K2 as a stream: state and new events are merged by sequence number, bucket by bucket; ``read_publications`` gives the state."""
+    return events.writeStream.foreachBatch(lambda batch, epoch: merge_publications(batch, epoch, state_path, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def tombstones(events: DataFrame, versions: DataFrame) -> DataFrame:

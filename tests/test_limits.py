@@ -101,3 +101,14 @@ def test_running_totals_in_parts(spark):
     frame = spark.createDataFrame(rows, "k string, score int, id int").groupBy("k", "score").agg(F.count("*").alias("n"), F.sum("id").alias("s"))
     got = {(r.k, r.score): (r.n, r.s) for r in evaluation.running_totals(frame, ["k"], F.col("score").desc(), ["n", "s"]).collect()}
     assert got == {(k, v): (sum(s >= v for _, s, _ in rows) // 2, sum(i for kk, s, i in rows if kk == k and s >= v)) for k in "ab" for v in range(50)}
+
+
+def test_nesting_of_a_long_list_is_found_in_one_pass(spark):
+    indents = [(i * 7919) % 13 for i in range(30_000)]
+    rows = spark.createDataFrame([(1, "\n".join(" " * n + f"- point {i}" for i, n in enumerate(indents)))], "doc_id int, text string")
+    got = {r.item_no: r.parent_no for r in tree.list_items(rows, ["doc_id"]).collect()}
+    last, want = {}, {}
+    for i, n in enumerate(indents):
+        want[i] = max((last[m] for m in last if m < n), default=None)
+        last[n] = i
+    assert got == want

@@ -69,8 +69,7 @@ def test_publication_stream_ignores_older_events_and_matches_the_batch(spark, tm
     parts = [[("d", 5, "publish", "v5"), ("e", 1, "publish", "v1")], [("d", 3, "publish", "v3"), ("e", 2, "delete", None)]]
     query = jobs.stream_publications(stream_of(spark, str(tmp_path / "in"), parts, schema), str(tmp_path / "state"), str(tmp_path / "cp"))
     query.awaitTermination(60)
-    epochs = sorted(p.name for p in (tmp_path / "state").iterdir())
-    got = {r["document_id"]: r["active_version_id"] for r in spark.read.parquet(str(tmp_path / "state" / epochs[-1])).collect()}
+    got = {r["document_id"]: r["active_version_id"] for r in jobs.read_publications(spark, str(tmp_path / "state")).collect()}
     assert got == {"d": "v5", "e": None}
     assert got == {r["document_id"]: r["active_version_id"] for r in jobs.publication_state(spark.createDataFrame(parts[0] + parts[1], schema)).collect()}
 
@@ -105,3 +104,20 @@ def test_job_stream_retries_then_fails(spark, tmp_path):
     assert rows[("j", 3)] == ("queued", 1) and rows[("j", 7)] == ("failed", 3) and rows[("k", 1)] == ("running", 1)
     batch = {r["job_id"]: (r["status"], r["attempts"]) for r in jobs.job_state(spark.createDataFrame(parts[0] + parts[1], schema)).collect()}
     assert batch == {"j": ("failed", 3), "k": ("running", 1)}
+
+
+def test_a_small_batch_rewrites_its_buckets_only_and_may_run_again(spark, tmp_path):
+    path, schema = str(tmp_path / "state"), "document_id string, seq long, kind string, version_id string"
+    events = [(f"d{i % 400}", i, "delete" if i % 7 == 0 else "publish", f"v{i}") for i in range(1000)]
+    first = spark.createDataFrame(events, schema)
+    jobs.merge_publications(first, 0, path, 64)
+    few = spark.createDataFrame([(f"d{i}", 2000 + i, "publish", f"w{i}") for i in range(8)] + [("new", 1, "publish", "n"), ("d9", 0, "publish", "late")], schema)
+    want = {tuple(r) for r in jobs.publication_state(first.unionByName(few)).select("document_id", "active_version_id", "seq").collect()}
+    for _ in range(2):  # an epoch that runs again starts from the same state
+        jobs.merge_publications(few, 1, path, 64)
+        assert len([p for p in (tmp_path / "state" / "data" / "epoch=1").iterdir() if p.name.startswith("bucket=")]) <= 10
+        assert {tuple(r) for r in jobs.read_publications(spark, path).select("document_id", "active_version_id", "seq").collect()} == want
+    # files of an epoch without its manifest do not count
+    jobs.merge_publications(spark.createDataFrame([("d1", 9999, "delete", None)], schema), 2, path, 64)
+    (tmp_path / "state" / "manifest" / "epoch=2" / "_SUCCESS").unlink()
+    assert {tuple(r) for r in jobs.read_publications(spark, path).select("document_id", "active_version_id", "seq").collect()} == want
