@@ -110,21 +110,36 @@ def generation_is_fresh(built: DataFrame, current: DataFrame) -> DataFrame:
     return revision_differences(built, current).agg((F.count("*") == 0).alias("fresh"))
 
 
-def evidence_snapshot(requests: DataFrame, visible: DataFrame, unit_nodes: DataFrame, entities: DataFrame) -> DataFrame:
-    """Per request: visible chunks with their nodes and complete flag; any missing chunk or entity fails it.
+def evidence_snapshot(requests: DataFrame, visible: DataFrame, unit_nodes: DataFrame, entities: DataFrame, bases: DataFrame | None = None) -> DataFrame:
+    """Per request: its visible chunks, their nodes, its entities and the revisions of its bases, or why there is no package.
 
-    ``requests(request_id, kb_ids, chunk_ids, entity_ids)``; ``unit_nodes(chunk_id, node_id)``; ``entities(entity_id, kb_id)``.
+    ``requests(request_id, kb_ids, chunk_ids, entity_ids)``; ``visible(chunk_id, kb_id, ...)`` of one state (``read_committed``);
+    ``unit_nodes(chunk_id, node_id)``; ``entities(entity_id, kb_id, ...)``; ``bases(kb_id, content_revision, acl_revision)``. Any missing chunk, entity or
+    base fails the request. ``chunk_rows``, ``node_rows``, ``entity_rows`` and ``revisions`` hold all given columns, in order of
+    ids; they are null where the request fails. A package is as long as the request's own lists.
     """
     asked = requests.select("request_id", "kb_ids", F.explode(F.array_distinct("chunk_ids")).alias("chunk_id"))
-    found = asked.join(visible.select("chunk_id", "kb_id"), "chunk_id").where(F.array_contains("kb_ids", F.col("kb_id")))
-    nodes = found.select("request_id", "chunk_id").join(unit_nodes, "chunk_id").groupBy("request_id").agg(F.count_distinct("node_id").alias("nodes"))
-    chunks = found.groupBy("request_id").agg(F.count("*").alias("chunks"))
+    found = asked.join(visible, "chunk_id").where(F.array_contains("kb_ids", F.col("kb_id")))
+    rows_of = lambda df, first: F.sort_array(F.collect_list(F.struct(first, *[c for c in df.columns if c != first])))
+    chunks = found.groupBy("request_id").agg(F.count("*").alias("chunks"), rows_of(visible, "chunk_id").alias("chunk_rows"))
+    nodes = found.select("request_id", "chunk_id").join(unit_nodes, "chunk_id").groupBy("request_id").agg(
+        F.count_distinct("node_id").alias("nodes"), F.sort_array(F.collect_set(F.struct("chunk_id", "node_id"))).alias("node_rows"))
     known = requests.select("request_id", "kb_ids", F.explode(F.array_distinct("entity_ids")).alias("entity_id")).join(entities, "entity_id").where(
-        F.array_contains("kb_ids", F.col("kb_id"))).groupBy("request_id").agg(F.count("*").alias("entities"))
-    rows = requests.join(chunks, "request_id", "left").join(known, "request_id", "left").join(nodes, "request_id", "left").fillna(0, ["chunks", "entities", "nodes"])
-    failure = F.when(F.col("entities") < F.size(F.array_distinct("entity_ids")), "context_binding_not_found_in_authorized_scope").when(
+        F.array_contains("kb_ids", F.col("kb_id"))).groupBy("request_id").agg(F.count("*").alias("entities"), rows_of(entities, "entity_id").alias("entity_rows"))
+    rows = requests.join(chunks, "request_id", "left").join(known, "request_id", "left").join(nodes, "request_id", "left")
+    if bases is not None:
+        held = requests.select("request_id", F.explode(F.array_distinct("kb_ids")).alias("kb_id")).join(bases, "kb_id").groupBy("request_id").agg(
+            F.count("*").alias("bases"), F.sort_array(F.collect_list(F.struct("kb_id", "content_revision", "acl_revision"))).alias("revisions"))
+        rows = rows.join(held, "request_id", "left")
+    else:
+        rows = rows.withColumns({"bases": F.size(F.array_distinct("kb_ids")), "revisions": F.lit(None).cast("array<struct<kb_id:string,content_revision:bigint,acl_revision:bigint>>")})
+    rows = rows.fillna(0, ["chunks", "entities", "nodes", "bases"])
+    failure = F.when(F.col("bases") < F.size(F.array_distinct("kb_ids")), "knowledge_base_not_found").when(
+        F.col("entities") < F.size(F.array_distinct("entity_ids")), "context_binding_not_found_in_authorized_scope").when(
         F.col("chunks") < F.size(F.array_distinct("chunk_ids")), "evidence_snapshot_changed")
-    return rows.select("request_id", "chunks", "entities", "nodes", failure.alias("failure"))
+    rows = rows.withColumn("failure", failure)
+    payload = [F.when(F.col("failure").isNull(), F.col(c)).alias(c) for c in ("chunk_rows", "node_rows", "entity_rows", "revisions")]
+    return rows.select("request_id", "chunks", "entities", "nodes", "failure", *payload)
 
 
 def generation_state(events: DataFrame, max_attempts: int = 3) -> DataFrame:

@@ -273,7 +273,12 @@ def evidence_snapshot(spark, d):
     visible = table(spark, d, "part").where("p_size < 48").select(F.col("p_partkey").alias("chunk_id"), F.lit("tpch").alias("kb_id"))
     nodes = table(spark, d, "part").select(F.col("p_partkey").alias("chunk_id"), F.col("p_brand").alias("node_id"))
     known = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("entity_id"), F.lit("tpch").alias("kb_id"))
-    return versions.evidence_snapshot(asked, visible, nodes, known).select("request_id", "chunks", "entities", "nodes", "failure")
+    bases = lines.agg(F.lit("tpch").alias("kb_id"), F.count("*").alias("content_revision"), F.lit(1).cast("long").alias("acl_revision"))
+    out = versions.evidence_snapshot(asked, visible, nodes, known, bases)
+    joined = lambda c, f: F.array_join(F.transform(c, f), ",")
+    return out.select("request_id", "chunks", "entities", "nodes", "failure", joined("chunk_rows", lambda x: x["chunk_id"].cast("string")).alias("chunk_list"),
+                      joined("node_rows", lambda x: F.concat_ws(":", x["chunk_id"], x["node_id"])).alias("node_list"), joined("entity_rows", lambda x: x["entity_id"].cast("string")).alias("entity_list"),
+                      joined("revisions", lambda x: F.concat_ws(":", x["kb_id"], x["content_revision"], x["acl_revision"])).alias("revisions"))
 
 
 KIND = ("case event_type when 'signup' then '{0}' when 'click' then '{1}' when 'view' then '{2}' when 'purchase' then '{3}' else '{4}' end")

@@ -7,6 +7,8 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestor.sources.stored import commit_tables, read_committed
+
 TREE_BUCKETS = 64
 
 
@@ -59,10 +61,11 @@ def delete_from_projection(projection: DataFrame, tombstones: DataFrame) -> Data
 
 
 def rebuild_generation(chunks: DataFrame, embed: Callable, path: str, batch_rows: int = 32) -> DataFrame:
-    """Embed every chunk with an injected model and write a new generation; the old path is not touched.
+    """Embed every chunk with an injected model and commit a new generation of the projection; the one before stays as it is.
 
     ``embed`` takes a list of texts and returns as many vectors; batches stay in order and a wrong count or a value that is
-    not finite fails the task. Returns the rows that differ from what was asked (empty when proven).
+    not finite fails the task. The written rows are proven against what was asked before the generation becomes visible
+    (``read_generation``). Returns the rows that differ; if there are any, the generation before is still the visible one.
     """
     def run(batches):
         import numpy as np
@@ -79,29 +82,56 @@ def rebuild_generation(chunks: DataFrame, embed: Callable, path: str, batch_rows
 
     id_type = chunks.schema["chunk_id"].dataType.simpleString()
     vectors = chunks.select("chunk_id", "search_text").mapInPandas(run, f"chunk_id {id_type}, vector array<float>")
-    write_projection(chunks, path, vectors)
-    return verify_projection(chunks, chunks.sparkSession.read.parquet(path))
+    rows = chunks.join(vectors, "chunk_id", "left").repartition("kb_id", F.pmod(F.xxhash64("chunk_id"), F.lit(32)))
+    problems = []
+
+    def proven(table) -> bool:
+        problems.append(verify_projection(chunks, table("projection")))
+        return problems[0].isEmpty()
+
+    commit_tables({"projection": rows}, path, {"projection": ["kb_id"]}, proven)
+    return problems[0]
+
+
+def read_generation(spark: SparkSession, path: str, commit: int | None = None) -> DataFrame:
+    """Rows of the visible generation, or of an earlier commit."""
+    return read_committed(spark, path, "projection", commit)
 
 
-def write_graph(tables: dict[str, DataFrame], chunks: DataFrame, path: str) -> DataFrame:
-    """Store the tree tables of versions as one set; refuse where units and chunks differ.
+def graph_refusals(tables: dict[str, DataFrame], chunks: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """``version_id, code`` of trees that may not be stored.
 
-    Returns the refused versions; nothing is written if there are any. ``tables``: nodes, edges, units, each with ``version_id``.
+    Units and chunks of a version must be the same; with ``graphs(version_id, source_hash, source_version_id)`` among the tables and
+    ``versions(version_id, document_id, content_sha256)`` given, a tree must be of the content that its version has, and of the lineage of its document.
     """
     units = tables["units"].select("version_id", "chunk_id").withColumn("u", F.lit(1))
     have = chunks.select("version_id", "chunk_id").withColumn("c", F.lit(1))
-    refused = units.join(have, ["version_id", "chunk_id"], "full_outer").where("u is null or c is null").select("version_id").distinct().withColumn(
-        "code", F.lit("document_graph_units_mismatch"))
+    refused = units.join(have, ["version_id", "chunk_id"], "full_outer").where("u is null or c is null").select("version_id", F.lit("document_graph_units_mismatch").alias("code"))
+    if "graphs" in tables and versions is not None:
+        own = versions.select("version_id", "document_id", "content_sha256")
+        source = versions.select(F.col("version_id").alias("source_version_id"), F.col("document_id").alias("source_document"))
+        graphs = tables["graphs"].select("version_id", "source_hash", "source_version_id").join(own, "version_id", "left").join(source, "source_version_id", "left")
+        lineage = F.col("source_version_id").isNotNull() & ~F.coalesce(F.col("source_document") == F.col("document_id"), F.lit(False))
+        code = F.when(lineage, "document_graph_lineage_must_stay_in_document").when(~F.coalesce(F.col("source_hash") == F.col("content_sha256"), F.lit(False)), "document_graph_source_hash_mismatch")
+        refused = refused.unionByName(graphs.select("version_id", code.alias("code")).where("code is not null"))
+    return refused.distinct()
+
+
+def write_graph(tables: dict[str, DataFrame], chunks: DataFrame, path: str, versions: DataFrame | None = None) -> DataFrame:
+    """Commit the tree tables of versions as one set, behind one pointer.
+
+    Returns the refused versions (``graph_refusals``); nothing is visible if there are any. ``tables``: nodes, edges, units, graphs, each with ``version_id``.
+    """
+    refused = graph_refusals(tables, chunks, versions)
     if refused.isEmpty():
-        for name, df in tables.items():
-            bucketed = df.withColumn("version_bucket", F.pmod(F.xxhash64("version_id"), F.lit(TREE_BUCKETS)))
-            bucketed.write.mode("errorifexists").partitionBy("version_bucket").parquet(f"{path}/{name}")
+        bucketed = {name: df.withColumn("version_bucket", F.pmod(F.xxhash64("version_id"), F.lit(TREE_BUCKETS))) for name, df in tables.items()}
+        commit_tables(bucketed, path, dict.fromkeys(tables, ["version_bucket"]))
     return refused
 
 
-def read_graph(spark: SparkSession, path: str, version_id: str, name: str = "nodes") -> DataFrame:
-    """One version of a tree table in ordinal order; the bucket prunes to one folder."""
-    rows = spark.read.parquet(f"{path}/{name}")
+def read_graph(spark: SparkSession, path: str, version_id: str, name: str = "nodes", commit: int | None = None) -> DataFrame:
+    """One version of a tree table of the visible set in ordinal order; the bucket prunes to one folder."""
+    rows = read_committed(spark, path, name, commit)
     bucket = F.pmod(F.xxhash64(F.lit(version_id)), F.lit(TREE_BUCKETS))
     found = rows.where((F.col("version_bucket") == bucket) & (F.col("version_id") == version_id)).drop("version_bucket")
     return found.orderBy("ordinal") if "ordinal" in found.columns else found

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from attestor.sources.stored import cut
+from attestor.sources.stored import cut, finished
 
 # Retry and lease rules.
 MAX_BACKOFF_SECONDS, MAX_ATTEMPTS = 60, 3
@@ -43,24 +43,10 @@ PUBLICATION_SCHEMA = "document_id string, kind string, active_version_id string,
 PUBLICATION_BUCKETS = 256
 
 
-def _finished(spark: SparkSession, path: str, before: int | None = None) -> int:
-    """Last epoch (before ``before``) whose table below ``path`` was written to its end; -1 if there is none."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = []
-    if files.exists(root):
-        for status in files.listStatus(root):
-            name = status.getPath().getName()
-            if name.startswith("epoch=") and files.exists(hadoop.Path(status.getPath(), "_SUCCESS")):
-                done.append(int(name[6:]))
-    return max([e for e in done if before is None or e < before], default=-1)
-
-
 def _bucket_epochs(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
     """Per bucket, the epoch that holds its state: the last finished manifest, at most one row a bucket."""
-    last = _finished(spark, f"{path}/manifest", before)
-    return {} if last < 0 else {r["bucket"]: r["epoch"] for r in spark.read.parquet(f"{path}/manifest/epoch={last}").collect()}
+    done = [e for e in finished(spark, f"{path}/manifest", "epoch=") if before is None or e < before]
+    return {r["bucket"]: r["epoch"] for r in spark.read.parquet(f"{path}/manifest/epoch={done[-1]}").collect()} if done else {}
 
 
 def read_publications(spark: SparkSession, path: str, buckets: dict[int, int] | None = None) -> DataFrame:

@@ -119,9 +119,12 @@ SELECT document_id, count(*) AS n, 'visible' AS kind FROM x JOIN act USING (docu
     "revision_check": """SELECT user_id AS kb_id, CASE WHEN count(*) FILTER (event_type <> 'error') > 0 THEN 0::BIGINT END AS left_revision, count(*) FILTER (event_type = 'error') AS right_revision FROM events GROUP BY 1
 HAVING count(*) FILTER (event_type = 'error') > 0 OR count(*) FILTER (event_type <> 'error') = 0""",
     "evidence_snapshot": """WITH r AS (SELECT DISTINCT l_orderkey AS request_id, l_partkey, l_suppkey FROM lineitem),
-c AS (SELECT request_id, count(*) AS asked, count(*) FILTER (p_size < 48) AS chunks, count(DISTINCT p_brand) FILTER (p_size < 48) AS nodes FROM (SELECT DISTINCT request_id, l_partkey FROM r) JOIN part ON p_partkey = l_partkey GROUP BY 1),
-e AS (SELECT request_id, count(*) AS asked, count(*) FILTER (s_acctbal > 0) AS entities FROM (SELECT DISTINCT request_id, l_suppkey FROM r) JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1)
-SELECT request_id, chunks, entities, nodes, CASE WHEN entities < e.asked THEN 'context_binding_not_found_in_authorized_scope' WHEN chunks < c.asked THEN 'evidence_snapshot_changed' END AS failure FROM c JOIN e USING (request_id)""",
+c AS (SELECT request_id, count(*) AS asked, count(*) FILTER (p_size < 48) AS chunks, count(DISTINCT p_brand) FILTER (p_size < 48) AS nodes,
+  string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey) AS chunk_list, string_agg(l_partkey || ':' || p_brand, ',' ORDER BY l_partkey) AS node_list FROM (SELECT DISTINCT request_id, l_partkey FROM r) JOIN part ON p_partkey = l_partkey GROUP BY 1),
+e AS (SELECT request_id, count(*) AS asked, count(*) FILTER (s_acctbal > 0) AS entities, string_agg(l_suppkey::VARCHAR, ',' ORDER BY l_suppkey) AS entity_list FROM (SELECT DISTINCT request_id, l_suppkey FROM r) JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1),
+f AS (SELECT *, CASE WHEN entities < e.asked THEN 'context_binding_not_found_in_authorized_scope' WHEN chunks < c.asked THEN 'evidence_snapshot_changed' END AS failure FROM c JOIN e USING (request_id))
+SELECT request_id, chunks, entities, nodes, failure, CASE WHEN failure IS NULL THEN chunk_list END AS chunk_list, CASE WHEN failure IS NULL THEN node_list END AS node_list, CASE WHEN failure IS NULL THEN entity_list END AS entity_list,
+  CASE WHEN failure IS NULL THEN 'tpch:' || (SELECT count(*) FROM lineitem) || ':1' END AS revisions FROM f""",
     "generation_state": f"""WITH e AS (SELECT user_id, event_id, {kind('queued', 'building', 'ready', 'active', 'failed')} AS ev FROM events),
 g AS (SELECT user_id, arg_max(ev, event_id) AS ev, max(event_id) AS seq, count(*) FILTER (ev = 'building') AS attempts, max(event_id) FILTER (ev = 'active') AS act FROM e GROUP BY 1)
 SELECT user_id AS generation_id, CASE WHEN ev = 'active' AND act < (SELECT max(event_id) FROM e WHERE ev = 'active') THEN 'retired' WHEN ev = 'failed' AND attempts < 15 THEN 'queued' ELSE ev END AS status, attempts, seq FROM g""",

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestor.operators import versions
 from attestor.sources import files, projection
+from attestor.sources.stored import commit_tables, read_committed
 from attestor.streaming import jobs
 
 
@@ -44,18 +46,62 @@ def test_missing_recordings_are_errors(spark):
 
 def test_generation_is_rebuilt_and_proven(spark, tmp_path):
     chunks = spark.createDataFrame([(i, "k", "v", f"t{i}", f"s{i}") for i in range(5)], "chunk_id int, kb_id string, version_id string, source_text string, search_text string")
-    problems = projection.rebuild_generation(chunks, lambda texts: [[1.0, float(len(t))] for t in texts], str(tmp_path / "g1"), 2)
-    assert problems.count() == 0 and spark.read.parquet(str(tmp_path / "g1")).where("vector[1] = 2").count() == 5
+    path = str(tmp_path / "g")
+    problems = projection.rebuild_generation(chunks, lambda texts: [[1.0, float(len(t))] for t in texts], path, 2)
+    assert problems.count() == 0 and projection.read_generation(spark, path).where("vector[1] = 2").count() == 5
     with pytest.raises(Exception):
-        projection.rebuild_generation(chunks, lambda texts: [[float("nan")]] * len(texts), str(tmp_path / "g2"))
+        projection.rebuild_generation(chunks.limit(2), lambda texts: [[float("nan")]] * len(texts), path)
+    assert projection.read_generation(spark, path).count() == 5  # the one before stays visible
+    assert projection.rebuild_generation(chunks.limit(3), lambda texts: [[0.0, 0.0]] * len(texts), path).count() == 0
+    assert projection.read_generation(spark, path).count() == 3 and projection.read_generation(spark, path, 0).count() == 5
 
 
-def test_tree_store_refuses_units_without_chunks(spark, tmp_path):
-    tables = {"nodes": spark.createDataFrame([("v1", "b", 1), ("v1", "a", 0)], "version_id string, node_key string, ordinal int"), "units": spark.createDataFrame([("v1", 1)], "version_id string, chunk_id int")}
+def graph_tables(spark, nodes, hash_="h1", source=None):
+    return {"nodes": spark.createDataFrame([("v1", key, i) for i, key in enumerate(nodes)], "version_id string, node_key string, ordinal int"),
+            "units": spark.createDataFrame([("v1", 1)], "version_id string, chunk_id int"),
+            "graphs": spark.createDataFrame([("v1", hash_, source)], "version_id string, source_hash string, source_version_id string")}
+
+
+def test_tree_store_refuses_what_does_not_belong_together(spark, tmp_path):
     chunks = spark.createDataFrame([("v1", 1)], "version_id string, chunk_id int")
-    assert projection.write_graph(tables, chunks.withColumn("chunk_id", F.lit(2)), str(tmp_path / "bad")).count() == 1
-    assert projection.write_graph(tables, chunks, str(tmp_path / "t")).count() == 0
-    assert [r["node_key"] for r in projection.read_graph(spark, str(tmp_path / "t"), "v1").collect()] == ["a", "b"]
+    owners = spark.createDataFrame([("v1", "d1", "h1"), ("v0", "d1", "h0"), ("w", "d2", "h2")], "version_id string, document_id string, content_sha256 string")
+    path = str(tmp_path / "t")
+    cases = [(chunks.withColumn("chunk_id", F.lit(2)), {}, "document_graph_units_mismatch"), (chunks, {"hash_": "other"}, "document_graph_source_hash_mismatch"),
+             (chunks, {"source": "w"}, "document_graph_lineage_must_stay_in_document"), (chunks, {"source": "unknown"}, "document_graph_lineage_must_stay_in_document")]
+    for have, odd, code in cases:
+        assert {r.code for r in projection.write_graph(graph_tables(spark, "ab", **odd), have, path, owners).collect()} == {code}
+    with pytest.raises(ValueError):
+        projection.read_graph(spark, path, "v1")
+    assert projection.write_graph(graph_tables(spark, "ab", source="v0"), chunks, path, owners).count() == 0
+    assert [r["node_key"] for r in projection.read_graph(spark, path, "v1").collect()] == ["a", "b"]
+
+
+def test_a_failure_after_the_first_table_leaves_the_old_set_visible(spark, tmp_path):
+    chunks, path = spark.createDataFrame([("v1", 1)], "version_id string, chunk_id int"), str(tmp_path / "t")
+    projection.write_graph(graph_tables(spark, "ab"), chunks, path)
+    broken = graph_tables(spark, "xyz")
+    broken["graphs"] = broken["graphs"].withColumn("source_hash", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        projection.write_graph(broken, chunks, path)
+    assert [r["node_key"] for r in projection.read_graph(spark, path, "v1").collect()] == ["a", "b"]
+    projection.write_graph(graph_tables(spark, "xyz"), chunks, path)
+    assert projection.read_graph(spark, path, "v1").count() == 3 and projection.read_graph(spark, path, "v1", commit=0).count() == 2
+
+
+def test_a_package_holds_rows_of_one_committed_state(spark, tmp_path):
+    path = str(tmp_path / "p")
+    table = spark.createDataFrame([(1, "k", "one"), (2, "k", "two")], "chunk_id int, kb_id string, source_text string")
+    commit_tables({"chunks": table}, path)
+    asked = spark.createDataFrame([("q", ["k"], [1, 2], ["e"]), ("r", ["k"], [1, 3], ["e"]), ("s", ["k", "x"], [1], [])], "request_id string, kb_ids array<string>, chunk_ids array<int>, entity_ids array<string>")
+    nodes, known = spark.createDataFrame([(1, "n1"), (1, "n0"), (2, "n2")], "chunk_id int, node_id string"), spark.createDataFrame([("e", "k", "lamp")], "entity_id string, kb_id string, name string")
+    bases = spark.createDataFrame([("k", 7, 2)], "kb_id string, content_revision long, acl_revision long")
+    visible = read_committed(spark, path, "chunks", 0)
+    commit_tables({"chunks": table.where("chunk_id = 1")}, path)
+    got = {r.request_id: r for r in versions.evidence_snapshot(asked, visible, nodes, known, bases).collect()}
+    assert [(c.chunk_id, c.source_text) for c in got["q"].chunk_rows] == [(1, "one"), (2, "two")] and [n.node_id for n in got["q"].node_rows] == ["n0", "n1", "n2"]
+    assert got["q"].entity_rows[0].name == "lamp" and tuple(got["q"].revisions[0]) == ("k", 7, 2)
+    assert (got["r"].failure, got["r"].chunk_rows) == ("evidence_snapshot_changed", None) and got["s"].failure == "knowledge_base_not_found"
+    assert read_committed(spark, path, "chunks").count() == 1
 
 
 def stream_of(spark, folder, rows, schema):
