@@ -226,26 +226,36 @@ def graph_digest(nodes: DataFrame, edges: DataFrame, key: str = "doc_id", units:
     return rows.groupBy(key).agg(multiset_digest(F.col("h")).alias("digest"))
 
 
+def _search_context(document_name: Column, title_path: Column, status: Column, subjects: Column, conditions: Column) -> Column:
+    none = F.expr("cast(array() as array<string>)")
+    known = F.when(status == "resolved", F.concat(F.transform(subjects, lambda s: s["display_name"]), conditions)).otherwise(none)
+    return F.array_join(F.filter(F.concat(F.array(document_name, F.array_join(title_path, " / ")), known), lambda x: x.isNotNull() & (x != "")), "\n")
+
+
 def search_text(document_name: Column, title_path: Column, status: Column, subjects: Column, conditions: Column, text: Column,
                 max_chars: int = SEARCH_TEXT) -> Column:
     """Model input: document name, titles, resolved subjects and conditions, then the fact; the prefix is bounded apart."""
-    none = F.expr("cast(array() as array<string>)")
-    known = F.when(status == "resolved", F.concat(F.transform(subjects, lambda s: s["display_name"]), conditions)).otherwise(none)
-    context = F.filter(F.concat(F.array(document_name, F.array_join(title_path, " / ")), known), lambda x: x.isNotNull() & (x != ""))
-    prefix = F.substring(F.array_join(context, "\n"), 1, min(SEARCH_PREFIX, max_chars // 4))
+    prefix = F.substring(_search_context(document_name, title_path, status, subjects, conditions), 1, min(SEARCH_PREFIX, max_chars // 4))
     return F.when(F.length(prefix) > 0, F.concat(prefix, F.lit("\n"), F.substring(text, F.lit(1), F.lit(max_chars) - F.length(prefix) - 1))).otherwise(
         F.substring(text, 1, max_chars))
 
 
-def materialize_chunks(facts: DataFrame) -> DataFrame:
-    """Facts to chunk rows with a name-based id from version and ordinal.
+def search_cut(document_name: Column, title_path: Column, status: Column, subjects: Column, conditions: Column, text: Column, max_chars: int = SEARCH_TEXT) -> Column:
+    """Characters of the context and the fact that ``search_text`` leaves out."""
+    size, bound = F.length(_search_context(document_name, title_path, status, subjects, conditions)), min(SEARCH_PREFIX, max_chars // 4)
+    room = F.lit(max_chars) - F.when(size > 0, F.least(size, F.lit(bound)) + 1).otherwise(0)
+    return F.greatest(size - bound, F.lit(0)) + F.greatest(F.length(text) - room, F.lit(0))
+
+
+def materialize_chunks(facts: DataFrame, max_chars: int = SEARCH_TEXT) -> DataFrame:
+    """Facts to chunk rows with a name-based id from version and ordinal; ``search_cut`` counts what the bounded search text leaves out.
 
     ``facts(version_id, kb_id, document_id, document_name, position, source_text, title_path, scope_status, subjects, conditions)``.
     """
     order = Window.partitionBy("version_id").orderBy("position")
     rows = facts.withColumn("ordinal", F.row_number().over(order) - 1)
-    return rows.withColumn("chunk_id", uuid5(F.col("version_id"), F.col("ordinal").cast("string"))).withColumn(
-        "search_text", search_text(F.col("document_name"), F.col("title_path"), F.col("scope_status"), F.col("subjects"), F.col("conditions"), F.col("source_text")))
+    parts = [F.col(c) for c in ("document_name", "title_path", "scope_status", "subjects", "conditions", "source_text")]
+    return rows.withColumns({"chunk_id": uuid5(F.col("version_id"), F.col("ordinal").cast("string")), "search_text": search_text(*parts, max_chars), "search_cut": search_cut(*parts, max_chars)})
 
 
 def promote_states(chunks: DataFrame, trusted_links: DataFrame, mentioned: DataFrame, general_documents: DataFrame) -> DataFrame:

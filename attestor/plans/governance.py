@@ -101,12 +101,12 @@ def dependency_edges(spark, d):
 
 
 def chunk_rows(spark, d):
-    """Line facts as chunk rows: name-based ids and search texts."""
+    """Line facts as chunk rows: name-based ids, search texts of at most 400 characters (a bound that lines pass), and what that leaves out."""
     facts = line_chunks(spark, d).select(
         F.concat(F.lit("00000000-0000-5000-8000-"), F.lpad(F.col("document_id").cast("string"), 12, "0")).alias("version_id"), "kb_id", "document_id", F.col("kb_id").alias("document_name"),
         F.col("ordinal").alias("position"), "source_text", F.array("lang").alias("title_path"), F.when(F.col("lang") == "en", "resolved").otherwise("unknown").alias("scope_status"),
         F.expr(SUBJECTS.format("lang")).alias("subjects"), F.array(F.lit("bound")).alias("conditions"))
-    return tree.materialize_chunks(facts).select("document_id", "ordinal", "chunk_id", F.md5("search_text").alias("search_digest"))
+    return tree.materialize_chunks(facts, 400).select("document_id", "ordinal", "chunk_id", F.md5("search_text").alias("search_digest"), F.col("search_cut").cast("long").alias("search_cut"))
 
 
 # --- review ------------------------------------------------------------------------------

@@ -46,6 +46,11 @@ def headings(spark, d):
     return structure.headings(marked(spark, d))
 
 
+def heading_limit(spark, d):
+    """Headings below the first level, as a limit of one level would report them; the default limit is 16."""
+    return structure.deep_headings(marked(spark, d), 1)
+
+
 def title_path(spark, d):
     paths = structure.heading_paths(marked(spark, d))
     return paths.select("doc_id", "line_no", "depth", "level", F.array_join("path", " / ").alias("path"))
@@ -291,7 +296,7 @@ def identifier_terms(spark, d):
 QUERIES = {
     "quality_gate": quality_gate, "detect_markup": detect_markup, "headings": headings, "title_path": title_path, "blocks": blocks,
     "chunk_ranges": chunk_ranges, "fact_limit": fact_limit, "pipe_table_cells": pipe_table_cells, "pipe_table_rows": pipe_table_rows,
-    "product_columns": product_columns, "list_clause_split": list_clause_split, "sections": sections, "entity_mentions": entity_mentions,
+    "heading_limit": heading_limit, "product_columns": product_columns, "list_clause_split": list_clause_split, "sections": sections, "entity_mentions": entity_mentions,
     "longest_mentions": longest_mentions, "classify_facts": classify_facts, "resolve_scope": resolve_scope, "scope_filter": scope_filter,
     "scope_compatible_pairs": scope_compatible_pairs, "reference_binding": reference_binding, "link_validation": link_validation,
     "continuation_star": continuation_star, "curated_dependencies": curated_dependencies, "ambiguous_aliases": ambiguous_aliases,

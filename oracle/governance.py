@@ -67,10 +67,9 @@ SELECT conv_id || ':t' || turn AS chunk_id, CASE WHEN length(text) > 150 THEN 't
 FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 GROUP BY 1""",
     "chunk_rows": f"""WITH {LINES},
 o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ordinal) - 1 AS pos, '000000000000500080' || lpad(document_id::VARCHAR, 14, '0') AS ns FROM chunks),
-h AS (SELECT *, sha1(unhex(ns) || encode(pos::VARCHAR)) AS r FROM o)
+h AS (SELECT *, sha1(unhex(ns) || encode(pos::VARCHAR)) AS r, kb_id || chr(10) || lang || CASE WHEN lang = 'en' THEN chr(10) || lang || chr(10) || 'bound' ELSE '' END AS context FROM o)
 SELECT document_id, pos AS ordinal, substr(r, 1, 8) || '-' || substr(r, 9, 4) || '-5' || substr(r, 14, 3) || '-' || substr('89ab89ab89ab89ab', ('0x' || substr(r, 17, 1))::INT + 1, 1) || substr(r, 18, 3) || '-' || substr(r, 21, 12) AS chunk_id,
-  md5(kb_id || chr(10) || lang || CASE WHEN lang = 'en' THEN chr(10) || lang || chr(10) || 'bound' ELSE '' END || chr(10)
-    || substr(source_text, 1, 16000 - length(kb_id || lang) - 2 - CASE WHEN lang = 'en' THEN length(lang) + 7 ELSE 0 END)) AS search_digest FROM h""",
+  greatest(0, length(source_text) - (400 - length(context) - 1))::BIGINT AS search_cut, md5(context || chr(10) || substr(source_text, 1, 400 - length(context) - 1)) AS search_digest FROM h""",
     "publish_blockers": f"WITH {CLOSE} SELECT source AS version_id, chunk_id FROM bl WHERE blocking",
     "review_summary": f"""WITH {CLOSE}, r AS (SELECT *, CASE WHEN n_chars > 20000 THEN 'dependency_unresolved' ELSE 'scope_not_identified' END AS reason FROM bl)
 SELECT source AS plan_id, count(*) AS total, count(*) FILTER (blocking) AS blocking, count(*) FILTER (lang = 'fr' AND state = 'rule_confirmed') AS confirmed_general, count(DISTINCT lang) AS sections,

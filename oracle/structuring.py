@@ -83,6 +83,7 @@ ORACLES = {
 SELECT kind, len(regexp_extract_all(text, '(?m)^ {{0,3}}#{{1,6}}\\s+\\S')) >= 2 OR regexp_matches(text, '(?m)^#{{1,6}}\\s+.+\\n\\s*\\n') OR regexp_matches(text, '(?m)^[^\\n|]{{1,160}}\\n(?:={{3,}}|-{{3,}})\\s*$') AS markdown,
   count(*) AS texts FROM t GROUP BY ALL""",
     "headings": f"""WITH {MARKED} SELECT doc_id, line_no, depth, title, start + instr(line, title) - 1 AS start, start + instr(line, title) - 1 + length(title) AS "end" FROM marked WHERE depth IS NOT NULL""",
+    "heading_limit": f"WITH {LEVELS} SELECT doc_id, line_no, 'heading_depth_limit' AS code FROM paths WHERE level > 1",
     "title_path": f"WITH {LEVELS} SELECT doc_id, line_no, depth, level, path FROM paths",
     "blocks": f"""WITH {BLOCKS} SELECT doc_id, block_no, start, start + length(text) AS "end", md5(text) AS digest, path,
   CASE WHEN regexp_matches(text, '^\\s*(?:```|~~~)') THEN 'code' WHEN regexp_matches(text, '^\\s*\\[\\^[^\\]]+\\]:') THEN 'footnote'

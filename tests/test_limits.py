@@ -34,6 +34,20 @@ def test_a_label_inside_a_word_is_found(spark):
     assert [tuple(r) for r in review.dependency_candidates(facts).collect()] == [(1, 2)]
 
 
+def test_labels_meet_titles_on_their_rarest_run(spark):
+    titles, labels = ["Safety conditions", "a", "ab", "abc", "Ünsafety", "aaa", "x" * 300 + "needle" + "y" * 300], ["a", "ab", "safety", "Safety", "needle", "aaaa", "ü", "conditions", "zzz", "b"]
+    held = review.labels_in_titles(spark.createDataFrame([(v, x) for v in "vw" for x in labels], "version_id string, label string"),
+                                   spark.createDataFrame([("v", t) for t in titles], "version_id string, title string"))
+    assert {tuple(r) for r in held.collect()} == {("v", x, t) for x in labels for t in titles if x in t}
+
+
+def test_search_text_says_what_it_leaves_out(spark):
+    rows = [("v", "k", 1, "n" * 300, 0, "t" * 90, ["T"], "unknown", [], []), ("v", "k", 1, "", 1, "short", [], "unknown", [], [])]
+    facts = spark.createDataFrame(rows, "version_id string, kb_id string, document_id int, document_name string, position int, source_text string, title_path array<string>, scope_status string, subjects array<struct<display_name:string>>, conditions array<string>")
+    got = tree.materialize_chunks(facts.withColumn("version_id", F.lit("00000000-0000-5000-8000-000000000001")), 100).orderBy("ordinal").collect()
+    assert [(len(r.search_text), r.search_cut) for r in got] == [(100, 302 - 25 + 90 - 74), (5, 0)]
+
+
 def test_levels_beyond_the_limit_are_reported(spark):
     text = "\n\n".join("#" * min(i, 6) + f" H{i}" for i in range(1, 7))
     rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
