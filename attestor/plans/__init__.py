@@ -1,5 +1,5 @@
 """Registered queries over the driver's tables."""
 
-from attestor.plans import decisions, governance, response, retrieval, structuring
+from attestor.plans import decisions, governance, lifecycle, response, retrieval, structuring
 
-REGISTRY = {**retrieval.QUERIES, **structuring.QUERIES, **governance.QUERIES, **decisions.QUERIES, **response.QUERIES}
+REGISTRY = {**retrieval.QUERIES, **structuring.QUERIES, **governance.QUERIES, **decisions.QUERIES, **response.QUERIES, **lifecycle.QUERIES}
