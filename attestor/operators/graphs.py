@@ -79,7 +79,7 @@ def strong_in_rounds(edges: DataFrame) -> DataFrame:
 
 
 def strong_of_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """``node, strong`` of one component's nodes on cycles, by one depth-first walk with an explicit stack; time and memory are linear in the edges."""
+    """``node, strong`` of the nodes on cycles of whole components, by one depth-first walk with an explicit stack; time and memory are linear in the edges."""
     ahead: dict = {}
     for a, b in zip(pdf["a"], pdf["b"]):
         ahead.setdefault(a, []).append(b)
@@ -117,19 +117,24 @@ def strong_of_group(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def by_component(edges: DataFrame, small: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame], limit: int = GROUP_EDGES) -> DataFrame:
-    """``small`` over edges of components of at most ``limit`` edges (with their ``part``), ``large`` over those of larger ones."""
+    """``small`` over edges of components of at most ``limit`` edges (with a ``slot``), ``large`` over those of larger ones.
+
+    A slot holds whole components, about ``limit`` edges of them, so that Python is called per slot and not per component.
+    """
     placed = cut(edges.join(weak_components(edges).withColumnRenamed("node", "a"), "a"))
+    slots = placed.count() // max(limit, 1) + 1
+    placed = placed.withColumn("slot", F.pmod(F.xxhash64("part"), F.lit(slots)))
     big = cut(placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("part"))
     if big.isEmpty():
         return small(placed)
-    return small(placed.join(big, "part", "left_anti")).unionByName(large(placed.join(big, "part", "left_semi").drop("part")))
+    return small(placed.join(big, "part", "left_anti")).unionByName(large(placed.join(big, "part", "left_semi").drop("part", "slot")))
 
 
 def strong_components(edges: DataFrame, limit: int = GROUP_EDGES) -> DataFrame:
     """``node, strong`` (the component's greatest node) of every node on a cycle of ``edges(a, b)``; ids of any one type."""
     edges = trimmed(edges.where("a <> b").select("a", "b").distinct(), TRIM_ROUNDS)
     kind = edges.schema["a"].dataType.simpleString()
-    return by_component(edges, lambda e: e.groupBy("part").applyInPandas(strong_of_group, f"node {kind}, strong {kind}"), strong_in_rounds, limit)
+    return by_component(edges, lambda e: e.groupBy("slot").applyInPandas(strong_of_group, f"node {kind}, strong {kind}"), strong_in_rounds, limit)
 
 
 def between_cycles(edges: DataFrame, limit: int = GROUP_EDGES) -> DataFrame:
@@ -148,4 +153,4 @@ def between_cycles(edges: DataFrame, limit: int = GROUP_EDGES) -> DataFrame:
         left = trimmed(e)
         return left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
 
-    return by_component(edges, lambda e: e.groupBy("part").applyInPandas(rest, f"node {kind}"), all_rounds, limit)
+    return by_component(edges, lambda e: e.groupBy("slot").applyInPandas(rest, f"node {kind}"), all_rounds, limit)

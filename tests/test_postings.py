@@ -211,6 +211,13 @@ def test_cycles_against_reachability(spark, limit, seed):
     assert {int(r.node) for r in graphs.between_cycles(frame, limit).collect()} == between
 
 
+def test_small_components_share_a_call(spark):
+    frame = spark.createDataFrame([(f"{x}{i}", f"{y}{i}") for i in range(300) for x, y in ("ab", "ba")], "a string, b string")
+    slots = graphs.by_component(frame, lambda e: e.groupBy("slot").agg(F.count("*").alias("n")), None)
+    assert [r.n for r in slots.collect()] == [600]
+    assert graphs.strong_components(frame).count() == 600 and graphs.between_cycles(frame).count() == 600
+
+
 def test_no_edges_and_long_chains(spark):
     none = spark.createDataFrame([], "a string, b string")
     assert graphs.strong_components(none).count() == 0 and graphs.between_cycles(none).count() == 0
