@@ -107,6 +107,21 @@ def test_a_search_reads_the_files_of_its_terms_only(spark, index):
     assert {r.term for r in asked.postings.select("term").distinct().collect()} == {"w3", "w4"}
 
 
+def test_a_task_writes_whole_ranges_and_equal_ids_share_one(spark, tmp_path, small_ranges):
+    rows = corpus() + [(5, corpus()[5][1], "again w3")] * 15
+    index = postings.build_index(spark.createDataFrame(rows, "chunk_id long, kb_id string, search_text string"), str(tmp_path / "w"))
+    placed = index.postings.select("kb_id", "range", F.regexp_extract(F.input_file_name(), r"part-(\d+)-", 1).alias("task"))
+    assert placed.groupBy("kb_id", "range").agg(F.count_distinct("task").alias("n")).where("n > 1").count() == 0
+    assert index.postings.groupBy("kb_id", "chunk_id").agg(F.count_distinct("range").alias("n")).where("n > 1").count() == 0
+    assert index.ranges > 3
+
+
+def test_many_requests_read_each_range_once(index, requests, monkeypatch):
+    monkeypatch.setattr(postings, "FEW_REQUESTS", 0)
+    monkeypatch.setattr(postings, "ranges_to_read", None)
+    same(ranking_of(postings.ranked(requests, index, 5, direct=0)), plain_ranking(corpus(), asked_rows(), 5))
+
+
 def test_best_field_counts(spark, tmp_path, small_ranges):
     rows = [(1, "k", "alpha beta", "gamma"), (2, "k", "gamma", "alpha alpha"), (3, "k", "delta", None)]
     chunks = spark.createDataFrame(rows, "chunk_id long, kb_id string, source_text string, title string")
