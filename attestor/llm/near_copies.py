@@ -1,8 +1,9 @@
-"""Near copies by similarity (the pipeline's stage): documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies (the pipeline's stage): documents whose SimHash fingerprints differ by four bits or fewer, as operator 7 links them, and documents whose
+sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-A fingerprint of 64 bits cannot find them: at similarity 0.8 two SimHashes differ by ten bits on average, which no pigeonhole search of
-64 bits reaches without comparing everything. Candidates are therefore sets that agree in a whole band of minimum hashes (a pair at 0.8 is missed
-with probability ``(1 - 0.8 ** 4) ** 32``, 5e-8, and less above), and every link is verified on the whole sets.
+Fingerprints of 64 bits alone do not find the second kind: at similarity 0.8 two SimHashes differ by ten bits on average, which no pigeonhole search of
+64 bits reaches without comparing everything. Candidates beside them are therefore sets that agree in a whole band of minimum hashes (a pair at 0.8 is missed
+with probability ``(1 - 0.8 ** 4) ** 32``, 5e-8, and less above), and every link of theirs is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from attestor.llm.byte_bpe import slices
 from attestor.llm.common import ROW, broadcast_small, cut, only_rows, whole, with_row
-from attestor.llm.simhash import components
+from attestor.llm.simhash import components, fingerprint_roots, fingerprints
 
 SHINGLE = 5
 TENTHS = 8  # least similarity, in tenths
@@ -146,14 +147,22 @@ def similar(docs: DataFrame, rows: DataFrame, text_col: str, block: int = BLOCK)
     return placed.groupBy("slot", "blocks", "low", "high").applyInPandas(verify, "a binary, b binary")
 
 
+def fingerprint_links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links ``a``, ``b`` between sets (``mark``) whose documents operator 7 puts into one group: fingerprints at most four bits apart, by its partition search."""
+    prints = cut(fingerprints(docs, id_col, text_col))
+    rooted = fingerprint_roots(cut(prints.select("fp").distinct()))
+    grouped = cut(rows.select(ROW, "mark").join(prints.select(ROW, "fp"), ROW).join(rooted, "fp").select("root", "mark").distinct())
+    return grouped.join(grouped.groupBy("root").agg(F.min("mark").alias("a")), "root").where("mark <> a").select("a", F.col("mark").alias("b"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per row of ``docs`` (which carries ``_row``): ``_row``, the id, ``component_id`` and ``kept``.
 
-    Similar documents are linked; ``component_id`` is the smallest id reachable (null ids last), and ``kept`` holds for one row of
+    Documents of close fingerprints and similar documents are linked; ``component_id`` is the smallest id reachable (null ids last), and ``kept`` holds for one row of
     each component: the smallest id's, the first of repeated rows. Documents with equal sets (also: without words) are one. An empty table gives no rows.
     """
     rows = cut(signatures(docs, id_col, text_col))
-    roots = components(similar(docs, rows, text_col, **options))
+    roots = components(fingerprint_links(docs, rows, id_col, text_col).unionByName(similar(docs, rows, text_col, **options)))
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", F.col(ROW).alias("row"))
     distinct = rows.groupBy("mark").agg(F.min(rank).alias("first"))
     rooted = cut(distinct.join(roots, F.col("mark") == F.col("node"), "left").select("mark", "first", F.coalesce("root", "mark").alias("root")))

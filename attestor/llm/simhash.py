@@ -293,6 +293,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def fingerprint_roots(fps: DataFrame, distance: int = MAX_DISTANCE, bucket: int = BUCKET) -> DataFrame:
+    """``fp``, ``root`` of distinct fingerprints: the least one reachable over links of at most ``distance`` bits."""
+    roots = components(links(fps.select("fp"), distance, bucket=bucket))
+    return fps.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = MAX_DISTANCE, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """One row per row of ``docs`` (which carries ``_row``): ``_row``, the id, ``fingerprint`` (hex), ``component_id`` and ``kept``.
 
@@ -304,8 +310,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = cut(fingerprints(docs, id_col, text_col, shingle))
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", F.col(ROW).alias("row"))
     distinct = cut(rows.groupBy("fp").agg(F.min(rank).alias("first")))
-    roots = components(links(distinct.select("fp"), distance, bucket=bucket))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = fingerprint_roots(distinct, distance, bucket)
     firsts = rooted.groupBy("root").agg(F.min("first").alias("least"))
     classes = rooted.select("fp", "root").join(firsts, "root").select("fp", "least")
     return rows.join(classes, "fp").select(

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from attestor.llm import near_copies
+from attestor.llm import near_copies, simhash
 from attestor.llm.common import ROW, with_row
 
 
@@ -67,3 +67,11 @@ def test_repeated_rows_and_no_rows(spark):
     docs = spark.createDataFrame([(None, None), (None, None), (1, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
     assert near_copies.keep_one(docs).count() == 2
     assert near_copies.near_groups(with_row(docs.limit(0))).drop(ROW).count() == 0
+
+
+def test_stage_links_close_fingerprints_whose_sets_differ(spark):
+    body = "a b c " * 80
+    rows = [(1, body + "x1 x2 x3 x4 x5 x6 x7 x8"), (2, body + "y1 y2 y3 y4 y5 y6 y7 y8"), (3, "quite another text of a few words")]
+    assert (simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[1][1])).bit_count() <= 4 and jaccard(shingles(rows[0][1]), shingles(rows[1][1])) < 0.5
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {1, 3}
