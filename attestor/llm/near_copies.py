@@ -1,9 +1,8 @@
-"""Near copies (the pipeline's stage): documents whose SimHash fingerprints differ by four bits or fewer, as operator 7 links them, and documents whose
-sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies (the pipeline's stage): documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Fingerprints of 64 bits alone do not find the second kind: at similarity 0.8 two SimHashes differ by ten bits on average, which no pigeonhole search of
-64 bits reaches without comparing everything. Candidates beside them are therefore sets that agree in a whole band of minimum hashes (a pair at 0.8 is missed
-with probability ``(1 - 0.8 ** 4) ** 32``, 5e-8, and less above), and every link of theirs is verified on the whole sets.
+Candidates are what operator 7 links: documents whose SimHash fingerprints differ by four bits or fewer, by its partition search. Fingerprints of 64 bits
+alone do not reach the rest: at similarity 0.8 two SimHashes differ by ten bits on average. Sets that agree in a whole band of minimum hashes are
+candidates too (a pair at 0.8 is missed with probability ``(1 - 0.8 ** 4) ** 32``, 5e-8, and less above). Every link is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -125,14 +124,14 @@ def verify(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def similar(docs: DataFrame, rows: DataFrame, text_col: str, block: int = BLOCK) -> DataFrame:
-    """Links ``a``, ``b`` between different sets (``mark``) with the components of all similar pairs that meet in a band.
+def similar(docs: DataFrame, rows: DataFrame, text_col: str, close: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links ``a``, ``b`` between different sets (``mark``) with the components of all similar pairs that meet in a band or in ``close`` (``a``, ``b``).
 
-    What bands connect is a coarse group; the texts of its sets meet once, in one task, or in one task for every two blocks of a large group.
+    What bands and ``close`` connect is a coarse group; the texts of its sets meet once, in one task, or in one task for every two blocks of a large group.
     """
     entries = rows.select("mark", F.explode("keys").alias("key"))
     least = entries.groupBy("key").agg(F.min("mark").alias("a"), F.max("mark").alias("most")).where("a <> most").select("key", "a")
-    met = entries.join(least, "key").where("mark <> a").select("a", F.col("mark").alias("b")).distinct()
+    met = entries.join(least, "key").where("mark <> a").select("a", F.col("mark").alias("b")).unionByName(close).distinct()
     coarse = cut(components(met).select(F.col("node").alias("mark"), F.col("root").alias("coarse")))
     coarse = coarse.unionByName(coarse.select(F.col("coarse").alias("mark"), "coarse").distinct()).distinct()
     sizes = coarse.groupBy("coarse").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
@@ -148,21 +147,21 @@ def similar(docs: DataFrame, rows: DataFrame, text_col: str, block: int = BLOCK)
 
 
 def fingerprint_links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Links ``a``, ``b`` between sets (``mark``) whose documents operator 7 puts into one group: fingerprints at most four bits apart, by its partition search."""
+    """Candidates ``a``, ``b``: sets (``mark``, not empty) whose documents operator 7 puts into one group, each with the least of its group."""
     prints = cut(fingerprints(docs, id_col, text_col))
     rooted = fingerprint_roots(cut(prints.select("fp").distinct()))
-    grouped = cut(rows.select(ROW, "mark").join(prints.select(ROW, "fp"), ROW).join(rooted, "fp").select("root", "mark").distinct())
+    grouped = cut(rows.where(F.size("keys") > 0).select(ROW, "mark").join(prints.select(ROW, "fp"), ROW).join(rooted, "fp").select("root", "mark").distinct())
     return grouped.join(grouped.groupBy("root").agg(F.min("mark").alias("a")), "root").where("mark <> a").select("a", F.col("mark").alias("b"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per row of ``docs`` (which carries ``_row``): ``_row``, the id, ``component_id`` and ``kept``.
 
-    Documents of close fingerprints and similar documents are linked; ``component_id`` is the smallest id reachable (null ids last), and ``kept`` holds for one row of
+    Similar documents are linked; ``component_id`` is the smallest id reachable (null ids last), and ``kept`` holds for one row of
     each component: the smallest id's, the first of repeated rows. Documents with equal sets (also: without words) are one. An empty table gives no rows.
     """
     rows = cut(signatures(docs, id_col, text_col))
-    roots = components(fingerprint_links(docs, rows, id_col, text_col).unionByName(similar(docs, rows, text_col, **options)))
+    roots = components(similar(docs, rows, text_col, fingerprint_links(docs, rows, id_col, text_col), **options))
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", F.col(ROW).alias("row"))
     distinct = rows.groupBy("mark").agg(F.min(rank).alias("first"))
     rooted = cut(distinct.join(roots, F.col("mark") == F.col("node"), "left").select("mark", "first", F.coalesce("root", "mark").alias("root")))

@@ -24,7 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by op7's SimHash fingerprints, four bits apart at most, or by a similarity of 0.8 on five-word shingles."""
+    """One document of each group linked by a similarity of 0.8 on five-word shingles, among candidates of op7's SimHash fingerprints and of minimum hashes."""
     return near_copies.keep_one(docs)
 
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from attestor.llm import near_copies, simhash
@@ -69,9 +70,17 @@ def test_repeated_rows_and_no_rows(spark):
     assert near_copies.near_groups(with_row(docs.limit(0))).drop(ROW).count() == 0
 
 
-def test_stage_links_close_fingerprints_whose_sets_differ(spark):
-    body = "a b c " * 80
-    rows = [(1, body + "x1 x2 x3 x4 x5 x6 x7 x8"), (2, body + "y1 y2 y3 y4 y5 y6 y7 y8"), (3, "quite another text of a few words")]
-    assert (simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[1][1])).bit_count() <= 4 and jaccard(shingles(rows[0][1]), shingles(rows[1][1])) < 0.5
-    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {1, 3}
+def test_fingerprints_give_candidates_and_sets_decide(spark):
+    words = " ".join(f"w{i}" for i in range(400))
+    loose = "a b c " * 80
+    rows = [(1, words), (2, words + " x"), (3, loose + "x1 x2 x3 x4 x5 x6 x7 x8"), (4, loose + "y1 y2 y3 y4 y5 y6 y7 y8"), (5, ""), (6, "quite another text of a few words")]
+    text = dict(rows)
+    for a, b in ((1, 2), (3, 4)):
+        assert (simhash.fingerprint(text[a]) ^ simhash.fingerprint(text[b])).bit_count() <= 4
+    docs = with_row(spark.createDataFrame(rows, "doc_id long, text string")).localCheckpoint()
+    signed = near_copies.signatures(docs, "doc_id", "text").localCheckpoint()
+    marks = {r.mark: r.id for r in signed.collect()}
+    close = near_copies.fingerprint_links(docs, signed, "doc_id", "text").localCheckpoint()
+    assert {frozenset((marks[r.a], marks[r.b])) for r in close.collect()} == {frozenset((1, 2)), frozenset((3, 4))}
+    unbanded = signed.withColumn("keys", F.slice("keys", 1, 0))
+    assert {frozenset((marks[r.a], marks[r.b])) for r in near_copies.similar(docs, unbanded, "text", close).collect()} == {frozenset((1, 2))}
