@@ -116,6 +116,16 @@ def test_a_task_writes_whole_ranges_and_equal_ids_share_one(spark, tmp_path, sma
     assert index.ranges > 3
 
 
+def test_a_block_is_one_row(spark, index):
+    """Postings of one term, base and range are stored together, and the files of all buckets fit under the limit above which Spark sorts the rows to write them."""
+    keys = ["term", "kb_id", "field", "range"]
+    assert index.packed.groupBy(*keys).count().where("count > 1").count() == 0
+    rows = {(r.term, r.chunk_id): (r.tf, r.dl, list(r.positions)) for r in index.postings.collect()}
+    want = {(t, i): (n, len(text.split()), [p for p, w in enumerate(text.split()) if w == t]) for i, _, text in corpus() for t, n in Counter(text.split()).items()}
+    assert rows == want
+    assert index.packed.where("n <> size(chunk_ids) or total <> aggregate(tfs, 0, (a, x) -> a + x) or max_tf <> array_max(tfs) or min_dl <> array_min(dls)").count() == 0
+
+
 def test_many_requests_read_each_range_once(index, requests, monkeypatch):
     monkeypatch.setattr(postings, "FEW_REQUESTS", 0)
     monkeypatch.setattr(postings, "ranges_to_read", None)
