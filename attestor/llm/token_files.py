@@ -16,11 +16,10 @@ from __future__ import annotations
 
 import re
 import struct
-import sys
 import zlib
-from array import array
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,8 @@ SAMPLE = 256
 END_ID = 2
 # A file is closed at this many ids, so a writer holds a bounded part in memory.
 FILE_TOKENS = 1 << 25
-REMEMBERED = 900_000
+REMEMBERED = 1_200_000
+JOINED = 256  # words that the library gets as one text
 
 
 class EliasFano:
@@ -126,40 +126,62 @@ class WordEncoder:
 
     The tokenizer drops white space, never joins characters across it, splits letters from the marks behind them and lower-cases.
     So the ids of a text are those of its words, and of a word like ``Word,`` those of ``word`` and ``,``; each such part is
-    given to the library once while the memory holds it.
+    given to the library once while the memory holds it. Parts of ASCII letters are given many at a time, joined by blanks: the model
+    marks the last token of every word, so their ids fall apart again at those tokens.
     """
 
-    BLANK = re.compile("[ \\t-\\r]+")
     MARKED = re.compile(r"([^\W\d_]+)([.,!?%*#$&|]+)").fullmatch
+    MARKED_ASCII = re.compile(rb"([A-Za-z]+)([.,!?%*#$&|]+)").fullmatch
 
     def __init__(self, path: str, width: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.code = {2: "H", 4: "I"}[width]
-        self.known: dict[str, bytes] = {}
+        self.type = f"<u{width}"
+        self.known: dict[bytes, bytes] = {}
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # whether a token stands at the end of a word
+        if suffix:
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > REMEMBERED:
             for word in list(islice(known, REMEMBERED // 2)):  # the oldest half goes
                 del known[word]
-        split = [self.BLANK.split(t) for t in texts]
-        parts = {}
-        for word in {w for words in split for w in words if w not in known}:
-            marked = self.MARKED(word)
-            parts[word] = [p.lower() if p.isascii() and p.isalpha() else p for p in (marked.groups() if marked else (word,))]
-        new = list({p for pieces in parts.values() for p in pieces if p not in known})
-        for at in range(0, len(new), 4096):
-            some = new[at: at + 4096]
-            for part, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                ids = array(self.code, coded.ids)
-                if sys.byteorder == "big":
-                    ids.byteswap()
-                known[part] = ids.tobytes()
+        split = [t.encode("utf-8").split() for t in texts]  # bytes are split at [\x20\x09-\x0D] only
+        self.learn(set(chain.from_iterable(split)).difference(known))
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+    def learn(self, words: set[bytes]) -> None:
+        """Adds the words to the memory."""
+        known, parts = self.known, {}
+        for word in words:
+            if word.isalpha():  # of bytes, only ASCII letters are letters
+                parts[word] = [word.lower()]
+                continue
+            marked = self.MARKED_ASCII(word) if word.isascii() else self.MARKED(word.decode("utf-8"))
+            pieces = [g if isinstance(g, bytes) else g.encode("utf-8") for g in marked.groups()] if marked else [word]
+            parts[word] = [p.lower() if p.isalpha() else p for p in pieces]
+        new = set(chain.from_iterable(parts.values())).difference(known)
+        plain, single = [p for p in new if p.isalpha()], [p for p in new if not p.isalpha()]
+        groups = [plain[at: at + JOINED] for at in range(0, len(plain), JOINED)]
+        for group, ids in zip(groups, self.ids_of([b" ".join(g) for g in groups])):
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(group):
+                raw, bounds = ids.tobytes(), (ids.itemsize * np.r_[0, ends]).tolist()
+                known.update(zip(group, (raw[i:j] for i, j in pairwise(bounds))))
+            else:
+                single += group
+        known.update(zip(single, (ids.tobytes() for ids in self.ids_of(single))))
         for word, pieces in parts.items():
             known[word] = b"".join([known[p] for p in pieces])
-        return [b"".join([known[w] for w in words]) for words in split]
+
+    def ids_of(self, parts: list[bytes]) -> Iterator[np.ndarray]:
+        """The library's ids of each part."""
+        for at in range(0, len(parts), 4096):
+            for coded in self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in parts[at: at + 4096]], add_special_tokens=False):
+                yield np.array(coded.ids, self.type)
 
 
 @lru_cache(maxsize=2)

@@ -43,6 +43,32 @@ def test_files_give_back_the_ids(spark, file_tokens):
     assert sorted(map(tuple, got), key=lambda r: r[1]) == expected(rows)
 
 
+class Counting:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.given = inner, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += len(texts)
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+@pytest.mark.parametrize("marks_ends, most", [(True, 30), (False, 3000)])
+def test_words_of_letters_share_a_call(marks_ends, most):
+    letters = np.random.default_rng(4).integers(97, 123, (2000, 9)).astype(np.uint8)
+    words = [bytes(row[: 1 + i % 9]).decode() for i, row in enumerate(letters)]
+    texts = [" ".join(words), "\x0b".join(w.title() + "," for w in words[:700]), "  Élan\x1cvital\xa0don't é ́x İΣ 'S s't 12a <|endoftext|> <|ENDoftext|>a ", "", " \n", "startoftext the </w> w the,the"]
+    encoder = tf.WordEncoder(tf.default_path(), 2)
+    if not marks_ends:
+        encoder.last[:] = False
+    plain = encoder.tokenizer
+    encoder.tokenizer = Counting(plain)
+    for _ in range(2):
+        assert encoder.encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert encoder.tokenizer.given < most
+
+
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert tf.read_files(tf.write_files(docs, new_folder(spark, "t"))).count() == 0
