@@ -20,6 +20,8 @@ SHINGLE = 4
 # A bucket up to this size is compared in blocks by one task; a larger one is linked through common midpoints, without pairs.
 BUCKET = 8192
 PARTITION_COUNTS = (3, 4, 5)
+# Pairs that one task of a round of components takes at least, and its least number of tasks.
+PAIRS_A_TASK, LEAST_TASKS = 50_000, 8
 
 
 # --- fingerprints -----------------------------------------------------------------------------------------------------
@@ -279,14 +281,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     shared storage. It ends when a round changes nothing; the number of rounds is logarithmic in the longest path.
     """
     pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    count = pairs.count()
     for _ in range(max_rounds):
+        # A round's tables are no larger than its pairs. Each task of a shuffle and of a stored table leaves files, so few pairs get few tasks.
+        tasks = max(LEAST_TASKS, count // PAIRS_A_TASK)
+        pairs = pairs.coalesce(tasks)
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low, "u").coalesce(tasks).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
-        after = cut(small)
-        changed = not after.exceptAll(pairs).isEmpty() or after.count() != pairs.count()
+        small = large.join(low, "u").coalesce(tasks).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+        after = cut(small.coalesce(tasks))
+        before, count = count, after.count()
+        changed = count != before or not after.exceptAll(pairs).isEmpty()
         pairs = after
         if not changed:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))

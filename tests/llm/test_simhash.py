@@ -102,3 +102,17 @@ def test_query_matches_brute_force_over_the_table(spark):
     for group in plain_components(signed, 4):
         ids = [i for i, v in fps.items() if (v - 2**64 if v >= 2**63 else v) in group]
         assert {got[i].component_id for i in ids} == {min(ids)}
+
+
+def test_rounds_of_few_pairs_have_few_tasks(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i != 20], "a long, b long")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = simhash.components(edges)
+        assert found.rdd.getNumPartitions() <= simhash.LEAST_TASKS
+        assert {(r.node, r.root) for r in found.collect()} == {(i, 0 if i <= 20 else 21) for i in range(1, 41) if i != 21}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
