@@ -50,6 +50,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written as Parquet to a new folder on shared storage and read again: less disk than ``cut`` for many narrow rows."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def broadcast_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint when a bounded count proves that it is small; else the join shuffles both sides."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm.byte_bpe import slices
-from attestor.llm.common import ROW, broadcast_small, cut, read, whole, with_row
+from attestor.llm.common import ROW, broadcast_small, cut, read, whole, with_row, written
 from attestor.llm.simhash import components
 
 EDITS = 2
 MIN_CHARS = 20  # shorter lines are linked only when they are equal
 MASK64 = (1 << 64) - 1
+ODD, SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # factors of the keys
+SPAN = 1 << 17  # characters whose lines are hashed together
 BLOCK = 1500  # lines of one side that one task compares under one key
 
 
@@ -84,45 +86,86 @@ def within(a: str, b: str, edits: int) -> bool:
 
 
 @lru_cache(maxsize=1 << 16)
-def cuts(length: int, edits: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
-    """Where a line of this length is cut: (hash seed for indexed length and segment, start, end), and which cuts are its own segments.
+def cuts(length: int, edits: int) -> np.ndarray:
+    """Where a line of this length is cut, a row per cut: hash seed for indexed length and segment, start, end, and 1 for its own segments.
 
     A line that looks up its own segment at its own place is left out: its own entry stands for both.
     """
     own = [(seed_of(length, i), at, to) for i, (at, to) in enumerate(segments(length, edits))]
     looked = [(seed_of(other, i), at, at + size) for other in range(length - edits, length + 1)
               for i, (size, low, high) in enumerate(windows(length, other, edits)) for at in range(low, high + 1)]
-    looked = [c for c in looked if c not in own]
-    return own + looked, np.arange(len(own) + len(looked)) < len(own)
+    return np.array([(*c, 1) for c in own] + [(*c, 0) for c in looked if c not in own], np.int64)
 
 
 def seed_of(length: int, segment: int) -> int:
     return length << 8 | segment
 
 
+@lru_cache(maxsize=1)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """``ODD ** i`` and ``ODD ** -i`` modulo 2 ** 64 for ``i`` up to ``SPAN``."""
+    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(SPAN, factor, np.uint64)]) for factor in (ODD, pow(ODD, -1, 1 << 64)))
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def mixed(sums: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Keys from the sums of substrings and the seeds of their cuts; every bit of a key depends on all bits of the sum."""
+    x = sums ^ (seeds.astype(np.uint64) * np.uint64(SPREAD))
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+@lru_cache(maxsize=256)
+def key_of(part: str, seed: int) -> int:
+    """Key of one substring: its code points as a polynomial in ``ODD`` modulo 2 ** 64, mixed with the seed."""
+    up, total = powers()[0], 0
+    for at in range(0, len(part), SPAN):
+        codes = code_points(part[at: at + SPAN])
+        total += int((codes * up[: len(codes)]).sum()) * pow(ODD, at, 1 << 64)
+    return int(mixed(np.array([total & MASK64], np.uint64), np.array([seed]))[0])
+
+
+def keys_of(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all cuts of the lines, whether each is a segment of its line, and the number of that line.
+
+    A substring's sum is the difference of two sums from the start, so the characters are read once, however many cuts they are in.
+    """
+    places = [cuts(len(line), edits) for line in lines]
+    line = np.repeat(np.arange(len(lines)), [len(p) for p in places])
+    seed, at, to, own = np.ascontiguousarray(np.concatenate(places).T)
+    sizes = np.array([len(x) for x in lines], np.int64)
+    if sizes.sum() > SPAN:  # one long line
+        keys = np.array([key_of(lines[i][a:b], c) for i, c, a, b in zip(line.tolist(), seed.tolist(), at.tolist(), to.tolist())], np.uint64)
+    else:
+        up, down = powers()
+        codes = code_points("".join(lines))
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * up[: len(codes)], out=sums[1:])
+        begin = (np.cumsum(sizes) - sizes)[line]
+        at += begin
+        keys = mixed((sums[begin + to] - sums[at]) * down[at], seed)
+    return keys, own.astype(bool), line
+
+
 def entry_keys(line: str, edits: int):
     """(key, own) of a line: its segments under its length, and the substrings it looks up."""
-    from xxhash import xxh64_intdigest
-
-    places, own = cuts(len(line), edits)
-    return [(xxh64_intdigest(line[at:to], seed), bool(mine)) for (seed, at, to), mine in zip(places, own)]
+    keys, own, _ = keys_of([line], edits)
+    return list(zip(keys.tolist(), own.tolist()))
 
 
 def first_key(long: str, short: str, edits: int) -> int | None:
     """The first key under which the pair meets; a pair is counted there only."""
-    from xxhash import xxh64_intdigest
-
     for i, ((at, to), (_, low, high)) in enumerate(zip(segments(len(short), edits), windows(len(long), len(short), edits))):
         part = short[at:to]
         if low <= high and long.find(part, low, high + len(part)) >= 0:
-            return xxh64_intdigest(part, seed_of(len(short), i))
+            return key_of(part, seed_of(len(short), i))
     return None
 
 
-def signed(values) -> np.ndarray:
-    return np.array(values, np.uint64).view(np.int64)
-
-
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``_row``, ``id``, ``line_no`` (from 0), ``line`` of the lines with a word, without white space at their ends, and ``h``, their 128-bit hash."""
     rows = docs.select(ROW, F.col(id_col).alias("id"), F.posexplode(F.split(whole(text_col), "\n")).alias("line_no", "raw"))
@@ -133,18 +176,13 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def entries(lines: DataFrame, edits: int) -> DataFrame:
     """``key``, ``mark`` (64-bit line hash) and ``own`` per line and key; equal lines of one batch give their rows once."""
     def run(batches):
-        from xxhash import xxh64_intdigest
-
         for batch in batches:
-            for part in slices(batch, 0, 1 << 19):
-                keys, marks, owns = [], [], []
-                for line, mark in set(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
-                    places, own = cuts(len(line), edits)
-                    keys += [xxh64_intdigest(line[at:to], seed) for seed, at, to in places]
-                    marks.append(np.full(len(places), mark, np.int64))
-                    owns.append(own)
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(np.concatenate(marks)), pa.array(np.concatenate(owns))], names=["key", "mark", "own"])
+            for part in slices(batch, 0, SPAN):
+                marks = dict(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
+                if marks:
+                    keys, own, line = keys_of(list(marks), edits)
+                    names = np.fromiter(marks.values(), np.int64, len(marks))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(names[line]), pa.array(own)], names=["key", "mark", "own"])
 
     return lines.select("line", "mark").mapInArrow(run, "key long, mark long, own boolean")
 
@@ -204,11 +242,11 @@ def one_key(key: int, low: int, high: int, rows: list[tuple[str, int, str]], edi
 def edit_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
     """``a``, ``n`` (links of line a found in one place; sum them) or ``a``, ``b`` (a link) by line hash ``h``; ``lines`` has ``line`` and ``h``.
 
-    First only keys and 64-bit marks are reduced, to the keys under which different lines meet; then the lines of those keys
+    Keys and 64-bit marks are written once and reduced, to the keys under which different lines meet; then the lines of those keys
     get their texts. A key with many lines is split into blocks, and every two blocks are compared by a task of their own.
     """
     long = lines.where(F.char_length("line") >= min_chars).select("line", "h", F.xxhash64("line").alias("mark"))
-    keys = entries(long, edits)
+    keys = written(entries(long, edits), "line-keys")
     met = cut(keys.groupBy("key").agg(F.min("mark").alias("least"), F.max("mark").alias("most"), F.max("own").alias("own"))
               .where("own and least <> most").select("key"))
     members = cut(keys.join(broadcast_small(met), "key").select("key", "mark").distinct())

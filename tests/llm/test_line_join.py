@@ -79,3 +79,32 @@ def test_classes_and_links(spark, block, edits):
 def test_repeated_rows_keep_one_line(spark):
     docs = with_row(spark.createDataFrame([(1, "the very same line of text")] * 3, "doc_id long, text string"))
     assert sorted(r.kept for r in line_join.line_classes(docs).collect()) == [False, False, True]
+
+
+def test_keys_of_many_lines_are_those_of_their_parts():
+    draw = random.Random(4)
+    lines = ["".join(draw.choices("ab é\U0001F600", k=n)) for n in (20, 21, 333, 20, 47)]
+    keys, own, line = line_join.keys_of(lines, 2)
+    long = "xy" * line_join.SPAN  # longer than what is hashed together
+    for at, text in [*enumerate(lines), (None, long)]:
+        wanted = [(line_join.key_of(text[a:b], seed), bool(mine)) for seed, a, b, mine in line_join.cuts(len(text), 2).tolist()]
+        assert wanted == line_join.entry_keys(text, 2)
+        assert at is None or wanted == [(k, o) for k, o, i in zip(keys.tolist(), own.tolist(), line.tolist()) if i == at]
+    assert len(set(keys.tolist())) > 50
+
+
+def test_keys_are_made_once(spark, monkeypatch):
+    seen, real = spark.sparkContext.accumulator(0), line_join.entries
+
+    def counted(lines, edits):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return real(lines.mapInArrow(run, lines.schema), edits)
+
+    monkeypatch.setattr(line_join, "entries", counted)
+    docs = with_row(spark.createDataFrame([(i, f"a line that differs in its number only {i % 7}") for i in range(30)], "doc_id long, text string"))
+    found = line_join.line_classes(docs).collect()
+    assert {(r.class_id, r.n_links) for r in found} == {(0, 6)} and seen.value == 30
