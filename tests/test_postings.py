@@ -126,6 +126,18 @@ def test_a_block_is_one_row(spark, index):
     assert index.packed.where("n <> size(chunk_ids) or total <> aggregate(tfs, 0, (a, x) -> a + x) or max_tf <> array_max(tfs) or min_dl <> array_min(dls)").count() == 0
 
 
+def test_columns_of_few_repeats_are_written_without_a_dictionary(spark, index):
+    import pyarrow.parquet as pq
+
+    file = next(f for f in index.packed.inputFiles() if pq.ParquetFile(f.removeprefix("file://")).metadata.num_rows)
+    group = pq.ParquetFile(file.removeprefix("file://")).metadata.row_group(0)
+    columns = [group.column(i) for i in range(group.num_columns)]
+    coded = {c.path_in_schema.split(".")[0] for c in columns if c.has_dictionary_page}
+    assert not coded & {"term", "range", "chunk_ids", "positions"} and {"kb_id", "tfs"} <= coded
+    totals = {(r.kb_id, r.field): r.total_dl for r in index.stats.collect()}
+    assert totals == {(kb, "text"): sum(len(t.split()) for _, own, t in corpus() if own == kb) for kb in {kb for _, kb, _ in corpus()}}
+
+
 def test_many_requests_read_each_range_once(index, requests, monkeypatch):
     monkeypatch.setattr(postings, "FEW_REQUESTS", 0)
     monkeypatch.setattr(postings, "ranges_to_read", None)
