@@ -90,6 +90,12 @@ def test_many_requests_take_the_shuffled_way(index, requests, monkeypatch, direc
     same(ranking_of(postings.ranked(requests, index, 5, direct=direct)), plain_ranking(corpus(), asked_rows(), 5))
 
 
+@pytest.mark.parametrize("kind", ["bm25", "logtf"])
+def test_many_requests_over_a_whole_index_take_the_shuffled_way(index, requests, monkeypatch, kind):
+    monkeypatch.setattr(postings, "LOCAL_ROWS", 20)  # the bases are at hand, the terms are not
+    same(ranking_of(postings.ranked(requests, index, 5, kind, direct=10_000)), plain_ranking(corpus(), asked_rows(), 5, kind))
+
+
 def test_ranges_below_the_kth_score_are_not_read(index, requests):
     asked = postings.ask(requests, index, "bm25")
     bounds, (first, rest) = postings.range_bounds(asked), postings.ranges_to_read(asked, 3)
