@@ -180,6 +180,22 @@ def test_phrases_are_tokens_in_order(spark, tmp_path, small_ranges):
         assert {q: sorted(v) for q, v in got.items()} == {q: v for q, v in asked if v}
 
 
+def test_places_of_a_phrase_stay_off_the_driver(spark, tmp_path, small_ranges, monkeypatch):
+    """What comes to the driver is a row per token of the queries, without lists, however many chunks hold the rarest token."""
+    query = "rare next " + " ".join(f"other{i}" for i in range(8))
+    rows = [(i, "k", query if i < 60 else "rare next other1") for i in range(120)]
+    index = postings.build_index(spark.createDataFrame(rows, "chunk_id long, kb_id string, search_text string"), str(tmp_path / "many"))
+    requests = spark.createDataFrame([("q", query, ["k"]), (None, query, ["k"])], "request_id string, query string, kb_ids array<string>")
+    for limit in (200_000, 30):  # the places are broadcast, or they meet by shuffle
+        monkeypatch.setattr(postings, "LOCAL_ROWS", limit)
+        taken, of = [], postings.at_hand
+        monkeypatch.setattr(postings, "at_hand", lambda df: taken.append(of(df)) or taken[-1])
+        got = sorted((r.request_id or "", r.chunk_id) for r in postings.phrases(requests, index).collect())
+        monkeypatch.setattr(postings, "at_hand", of)
+        assert got == [(q, i) for q in ("", "q") for i in range(60)]
+        assert all(rows is not None and len(rows) <= 20 and not any("array" in kind for _, kind in df.dtypes) for df, rows in taken)
+
+
 def test_an_index_follows_its_input(spark, tmp_path):
     path, built = str(tmp_path / "t"), []
     for n in (3, 3, 4):
